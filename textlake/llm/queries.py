@@ -75,19 +75,19 @@ lines AS (
   SELECT doc_id, i - 1 AS line_no, ls[i] AS line,
          string_split(trim(regexp_replace(lower(ls[i]), '[\x09\x0B\x0C\x0D\x20]+', ' ', 'g'), ' '), ' ') AS w
   FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM raw)),
-long AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS norm FROM lines WHERE len(w) >= 5),
-classes AS (SELECT norm, min((doc_id, line_no)) AS at, any_value(w) AS w FROM long GROUP BY norm),
-sets AS (SELECT row_number() OVER () AS id, norm, at,
+wordy AS (SELECT doc_id, line_no, w, array_to_string(w, ' ') AS norm FROM lines WHERE len(w) >= 5),
+classes AS (SELECT norm, min((doc_id, line_no)) AS pos, any_value(w) AS w FROM wordy GROUP BY norm),
+sets AS (SELECT row_number() OVER () AS id, norm, pos,
                 list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s
          FROM classes),
-tokens AS (SELECT id, at, len(s) AS n, unnest(s) AS token FROM sets),
+tokens AS (SELECT id, pos, len(s) AS n, unnest(s) AS token FROM sets),
 shared AS (SELECT token FROM tokens GROUP BY token HAVING count(*) > 1),
 t2 AS (SELECT t.* FROM tokens t JOIN shared USING (token)),
 pairs AS (SELECT b.id, a.n AS na, b.n AS nb, count(*) AS c
-          FROM t2 a JOIN t2 b ON a.token = b.token AND a.at < b.at GROUP BY a.id, b.id, a.n, b.n),
+          FROM t2 a JOIN t2 b ON a.token = b.token AND a.pos < b.pos GROUP BY a.id, b.id, a.n, b.n),
 near AS (SELECT DISTINCT id FROM pairs WHERE c >= 0.8 * (na + nb - c) - 1e-9),
-gone AS (SELECT l.doc_id, l.line_no FROM long l JOIN sets s ON l.norm = s.norm
-         WHERE (l.doc_id, l.line_no) > s.at OR s.id IN (SELECT id FROM near)),
+gone AS (SELECT l.doc_id, l.line_no FROM wordy l JOIN sets s ON l.norm = s.norm
+         WHERE (l.doc_id, l.line_no) > s.pos OR s.id IN (SELECT id FROM near)),
 kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text
          FROM lines l ANTI JOIN gone USING (doc_id, line_no) GROUP BY l.doc_id),
 n AS (SELECT doc_id, count(*) AS lines_removed FROM gone GROUP BY doc_id)
