@@ -6,7 +6,7 @@ token of what stands before it and t are compatible, that is, if the merges appl
 them apart. Following the back-pointers from the whole word emits its ids. No merge is ever carried out.
 
 A word is a sequence of symbols: a byte, or a byte that ends the word (where the vocabulary marks word ends). The text
-is normalised and cut into words by the tokenizer file's own normaliser and pre-tokenizer; the strings of special tokens
+is normalised and cut into words as the tokenizer file says (see tokens.words); the strings of special tokens
 are cut out first, as the library does.
 
 Defined cases: a null text counts as empty and has no ids; texts and words may be of any length; an empty table gives an
@@ -27,12 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textlake.llm.common import documents
-from textlake.llm.tokens import MEMO, batches, load_tokenizer
+from textlake.llm.tokens import Memo, batches, byte_letters, chunks, load_tokenizer, words
 from textlake.session import ship_package
 
 PAIRS = 500_000
-_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-_CONTROL = re.compile("[\x1c-\x1f]")
 _LOADED: dict[str, "Bpe"] = {}
 
 
@@ -40,13 +38,6 @@ _LOADED: dict[str, "Bpe"] = {}
 assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
-def byte_letters() -> dict[str, int]:
-    """The printable letter that byte-level vocabularies write for each byte, to the byte."""
-    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    shifted = [b for b in range(256) if b not in set(kept)]
-    return {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(shifted)}
-
-
 class SuffixAutomaton:
     """Of a set of words over small integers. State 0 is the empty string.
 
@@ -108,7 +99,7 @@ class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        model, letters = spec["model"], byte_letters()
+        model, letters = spec["model"], {c: b for b, c in byte_letters().items()}
         self.end = model.get("end_of_word_suffix") or ""
         self.tok = load_tokenizer(path)
         vocab: dict[str, int] = model["vocab"]
@@ -126,18 +117,18 @@ class Bpe:
             if z not in birth:
                 birth[z], left[z], right[z] = r, x, y
         self.birth, self.left, self.right = birth, left, right
-        words, names = [], []
+        strings, names = [], []
         for t, i in vocab.items():
             ends = bool(self.end) and t.endswith(self.end)
             symbols = [letters[c] for c in (t[: -len(self.end)] if ends else t)]
             if ends:
                 symbols[-1] |= 256
-            words.append(tuple(symbols))
+            strings.append(tuple(symbols))
             names.append(i)
-        self.automaton = SuffixAutomaton(words, names)
+        self.automaton = SuffixAutomaton(strings, names)
         self.pairs: dict[int, bool] = {}
-        self.word_memo: dict[str, bytes] = {}
-        self.chunk_memo: dict[str, bytes] = {}
+        self.space = "dropped" if self.end else "attached"
+        self.words, self.chunks = Memo(self.word), Memo(self.chunk)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b apart where b follows a.
@@ -203,23 +194,14 @@ class Bpe:
 
     def word(self, word: str) -> bytes:
         """The ids of a word in byte letters."""
-        if (got := self.word_memo.get(word)) is None:
-            symbols = [self.letters[c] for c in word]
-            if self.end:
-                symbols[-1] |= 256
-            got = array("I", self.word_ids(symbols)).tobytes()
-            if len(self.word_memo) >= MEMO // 2:
-                self.word_memo.clear()
-            self.word_memo[word] = got
-        return got
-
-    def plain(self, piece: str) -> bytes:
-        """The ids of a text without special tokens that normaliser and pre-tokenizer see by itself."""
-        if self.end and piece.isascii() and piece.isprintable():
-            return b"".join([self.word(w) for w in _PLAIN.findall(piece.lower())])
-        if self.tok.normalizer:
-            piece = self.tok.normalizer.normalize_str(piece)
-        return b"".join([self.word(w) for w, _ in self.tok.pre_tokenizer.pre_tokenize_str(piece)])
+        symbols = [self.letters[c] for c in word]
+        if self.end:
+            symbols[-1] |= 256
+        return array("I", self.word_ids(symbols)).tobytes()
+
+    def plain(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
+        return b"".join(map(self.words.__getitem__, words(self.tok, self.space, text)))
 
     def chunk(self, chunk: str) -> bytes:
         if not self.cut:
@@ -229,16 +211,8 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids as unsigned 32-bit integers, in bytes."""
-        if not self.end or _CONTROL.search(text):
-            return self.chunk(text)
-        memo, ids = self.chunk_memo, []
-        for c in text.split():
-            if (got := memo.get(c)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                got = memo[c] = self.chunk(c)
-            ids.append(got)
-        return b"".join(ids)
+        found = chunks(self.space, text)
+        return self.chunk(text) if found is None else b"".join(map(self.chunks.__getitem__, found))
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes where the file names no decoder: the tokens' texts, joined by spaces."""

@@ -1,28 +1,66 @@
-"""Encoding by the tokenizers library, with a memo of white-space chunks.
+"""Encoding by the tokenizers library, with memos of white-space chunks and words.
 
 Both vocabularies split a text at white space before they merge anything, so a chunk's ids do not depend on what stands
-around it. A chunk is encoded by the library when a worker first meets it; the memo is bounded and starts anew when full.
+around it; nor do those of the words (pre-tokens) in it. A word is encoded by the library's model when a worker first
+meets it; memos are bounded and keep what was used lately.
 
 * `dropped`: white space never yields an id (word_bpe_49k). Chunks are the words between white space.
-* `attached`: one space belongs to what follows it (byte_bpe_50k). Chunks are cut before single spaces. Texts with white
-  space before or after a space run (where the cut depends on its surroundings) go to the library whole.
+* `attached`: one space belongs to what follows it (byte_bpe_50k). Chunks are cut before single spaces. Texts where a
+  space has white space beside it (the cut then depends on its surroundings) go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
-MEMO = 400_000
+MEMO = 300_000
+
+# Letters, numbers and white space below U+0250, where all Unicode versions agree and composed forms stay as they are.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
+_PATTERNS = {
+    "dropped": re.compile(f"{_ENDS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "attached": re.compile(f"{_ENDS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
+}
 
 _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
+class Memo(dict):
+    """Values made on first use. Of two generations of `most` entries the older one is dropped when the newer is full."""
+
+    def __init__(self, make, most: int = MEMO):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def byte_letters() -> dict[int, str]:
+    """For each byte the printable letter that byte-level vocabularies write for it."""
+    kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    shifted = [b for b in range(256) if b not in set(kept)]
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(shifted)}
+
+
+_LETTERS = byte_letters()
+
+
 def load_tokenizer(path: str):
     """A tokenizer without truncation and padding, on one thread."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,50 +73,59 @@ def load_tokenizer(path: str):
     return tok
 
 
+def words(tok, space: str, text: str) -> list[str]:
+    """The text's pre-tokens in byte letters. Latin text is cut here, all other by the tokenizer's own parts."""
+    if text and max(text) < "\u0250":
+        if space == "dropped":
+            text = text.lower()
+        found = _PATTERNS[space].findall(text)
+        if text.isascii() and " " not in text and text.isprintable():
+            return found
+        return [w.encode().decode("latin-1").translate(_LETTERS) for w in found]
+    if tok.normalizer:
+        text = tok.normalizer.normalize_str(text)
+    return [w for w, _ in tok.pre_tokenizer.pre_tokenize_str(text)]
+
+
+def chunks(space: str, text: str) -> list[str] | None:
+    """The text's chunks, or None if it must be encoded whole."""
+    if _CONTROL.search(text):
+        return None
+    if space == "dropped":
+        return text.split()
+    if _UNCLEAR.search(text):
+        return None
+    first, *rest = text.split(" ")
+    # "" after a cut is a space at the end of the text
+    return ([first] if first else []) + [" " + x for x in rest]
+
+
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers, in bytes."""
 
     def __init__(self, path: str, space: str):
-        self.tok, self.space, self.memo = load_tokenizer(path), space, {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def chunks(self, text: str) -> list[str] | None:
-        """The text's chunks, or None if it must be encoded whole."""
-        if self.space == "dropped":
-            return None if _CONTROL.search(text) else text.split()
-        if _CONTROL.search(text) or _UNCLEAR.search(text):
-            return None
-        first, *rest = text.split(" ")
-        # "" after a cut is a space at the end of the text
-        return ([first] if first else []) + [" " + x for x in rest]
-
-    def learn(self, chunks: list[list[str] | None]) -> None:
-        memo = self.memo
-        new = set()
-        for c in chunks:
-            if c:
-                new.update(c)
-        new.difference_update(memo)
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            for c in chunks:
-                if c:
-                    new.update(c)
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            memo.update(zip(part, self.whole(part), strict=True))
+        self.tok, self.space = load_tokenizer(path), space
+        special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.words, self.chunks = Memo(self.word), Memo(self.chunk)
+        self.model = self.tok.model
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(self, word: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes:
+        if self.special and self.special.search(chunk):
+            return self.whole(chunk)
+        return b"".join(map(self.words.__getitem__, words(self.tok, self.space, chunk)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            part = [self.chunks(t) for t in texts[i : i + 256]]
-            self.learn(part)
-            get = self.memo.__getitem__
-            for t, c in zip(texts[i : i + 256], part, strict=True):
-                out.append(self.whole([t])[0] if c is None else b"".join(map(get, c)))
+        get, out = self.chunks.__getitem__, []
+        for t in texts:
+            c = chunks(self.space, t)
+            out.append(self.whole(t) if c is None else b"".join(map(get, c)))
         return out
 
 
