@@ -26,8 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textlake.llm.common import documents
-from textlake.llm.tokens import Memo, batches, byte_letters, chunks, load_tokenizer, words
+from textlake.llm.common import documents, text_slices
+from textlake.llm.tokens import CHUNKS, WORDS, Memo, byte_letters, chunks, load_tokenizer, words
 from textlake.session import ship_package
 
 PAIRS = 500_000
@@ -128,7 +128,7 @@ class Bpe:
         self.automaton = SuffixAutomaton(strings, names)
         self.pairs: dict[int, bool] = {}
         self.space = "dropped" if self.end else "attached"
-        self.words, self.chunks = Memo(self.word), Memo(self.chunk)
+        self.words, self.chunks = Memo(self.word, WORDS), Memo(self.chunk, CHUNKS)
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b apart where b follows a.
@@ -233,20 +233,18 @@ def encode_documents(df: DataFrame, vocab: str, with_ids: bool = True, id_col: s
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocab)
-        for part in parts:
-            texts = part["text"].to_pylist()
-            for a, b in batches(texts):
-                found = [coder.encode(t) for t in texts[a:b]]
-                decoded = [coder.decode(array("I", x)) for x in found]
-                out = {
-                    "doc_id": part["doc_id"].slice(a, b - a),
-                    "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in found],
-                    "decoded_sha256": [hashlib.sha256(y.encode()).hexdigest() for y in decoded],
-                }
-                if with_ids:
-                    out["ids"] = pa.array([np.frombuffer(x, "<u4").astype("i4") for x in found], pa.list_(pa.int32()))
-                    out["decoded"] = decoded
-                yield pa.RecordBatch.from_pydict(out)
+        for part, texts in text_slices(parts):
+            found = [coder.encode(t) for t in texts]
+            decoded = [coder.decode(array("I", x)) for x in found]
+            out = {
+                "doc_id": part["doc_id"],
+                "n_tokens": pa.array([len(x) // 4 for x in found], pa.int64()),
+                "ids_sha256": [hashlib.sha256(x).hexdigest() for x in found],
+                "decoded_sha256": [hashlib.sha256(y.encode()).hexdigest() for y in decoded],
+            }
+            if with_ids:
+                out["ids"] = pa.array([np.frombuffer(x, "<u4").astype("i4") for x in found], pa.list_(pa.int32()))
+                out["decoded"] = decoded
+            yield pa.RecordBatch.from_pydict(out)
 
     return documents(df, id_col, text_col).mapInArrow(run, schema)

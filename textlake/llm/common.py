@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,3 +25,17 @@ def text_or_empty(name: str = "text") -> Column:
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only id and text; a null text counts as empty."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+
+
+def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with their texts, of about `most` bytes each: what a task holds does not depend on how long
+    the texts of a batch are."""
+    for part in parts:
+        if not part.num_rows:
+            continue
+        sizes = pc.fill_null(pc.binary_length(part[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(sizes) - sizes) // most
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), part.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            own = part.slice(a, b - a)
+            yield own, own[column].to_pylist()

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlake.llm.common import text_slices
 from textlake.session import ship_package
 
 DIM = 1024
@@ -103,8 +104,8 @@ def train(df: DataFrame, text: Column, lang: Column, dim: int = DIM) -> dict[str
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(dim), {}
-        for part in parts:
-            texts, langs = part["text"].to_pylist(), part["lang"].to_pylist()
+        for part, texts in text_slices(parts):
+            langs = part["lang"].to_pylist()
             for name in sorted(set(langs)):
                 own = [t for t, n in zip(texts, langs) if n == name]
                 for a, b in slices(own):
@@ -156,12 +157,12 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     ship_package(df.sparkSession)
     names = list(prototypes)
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.empty((0, dim))
-    columns, at = df.columns, df.columns.index(text_col)
+    columns = df.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(dim)
-        for part in parts:
-            best, score = classify([t or "" for t in part.column(at).to_pylist()], grams, matrix)
+        for part, texts in text_slices(parts, text_col):
+            best, score = classify([t or "" for t in texts], grams, matrix)
             found = [names[i] if i >= 0 else UNKNOWN for i in best]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
 

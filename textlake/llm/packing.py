@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from textlake.llm.common import documents
-from textlake.llm.tokens import batches, encoder
+from textlake.llm.common import documents, text_slices
+from textlake.llm.tokens import encoder
 from textlake.session import ship_package
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -108,22 +108,20 @@ def pack_documents(df: DataFrame, vocab: str, end_id: int = 1, space: str = "dro
             rests.clear()
             held = 0
 
-        for part in parts:
-            docs, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
-            for a, b in batches(texts):
-                for doc, ids in zip(docs[a:b], enc.encode(texts[a:b]), strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    cut = total - total % capacity
-                    for start in range(0, cut, capacity):
-                        rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, sequence, 0))
-                        sequence += 1
-                    if cut < total:
-                        rests[total - cut].append((doc, cut, total - cut, zlib.crc32(ids[4 * cut :]), total))
-                        held += 1
-                yield from emit(50_000)
-                if held >= flush:
-                    yield from pack_rests()
+        for part, texts in text_slices(parts):
+            for doc, ids in zip(part["doc_id"].to_pylist(), enc.encode(texts), strict=True):
+                ids += end
+                total = len(ids) // 4
+                cut = total - total % capacity
+                for start in range(0, cut, capacity):
+                    rows.append((doc, start, capacity, zlib.crc32(ids[4 * start : 4 * (start + capacity)]), total, sequence, 0))
+                    sequence += 1
+                if cut < total:
+                    rests[total - cut].append((doc, cut, total - cut, zlib.crc32(ids[4 * cut :]), total))
+                    held += 1
+            yield from emit(50_000)
+            if held >= flush:
+                yield from pack_rests()
         yield from pack_rests()
         yield from emit(0)
 

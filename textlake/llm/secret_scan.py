@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import documents, text_or_empty
+from textlake.llm.common import documents, text_or_empty, text_slices
 from textlake.session import ship_package
 
 # The base kinds, in the order in which spans with equal starts are listed.
@@ -111,8 +111,8 @@ def scan_secrets(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_c
     ship_package(df.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, reach)] for t in part["text"].to_pylist()]
+        for part, texts in text_slices(parts):
+            spans = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in scan(t, reach)] for t in texts]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(spans, _ARROW)], names=["doc_id", "spans"])
 
     return documents(df, id_col, text_col).mapInArrow(run, f"doc_id long, spans {SPANS}")
@@ -144,10 +144,9 @@ def redact_secrets(df: DataFrame, reach: int = 200, text_col: str = "text") -> D
     names, at = df.columns, df.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            texts = [None if t is None else redact(t, reach) for t in part.column(at).to_pylist()]
+        for part, texts in text_slices(parts, text_col):
             columns = [*part.columns]
-            columns[at] = pa.array(texts, pa.string())
+            columns[at] = pa.array([None if t is None else redact(t, reach) for t in texts], pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.withColumn(text_col, F.when(F.col(text_col).isNotNull(), text_or_empty(text_col))).mapInArrow(run, df.schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import documents
+from textlake.llm.common import documents, text_slices
 from textlake.llm.components import connected_components
 from textlake.session import materialise, ship_package
 
@@ -56,8 +56,8 @@ def fingerprints(df: DataFrame, words: int = 4, id_col: str = "doc_id", text_col
     ship_package(df.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            fp = np.array([fingerprint(t, words) for t in part["text"].to_pylist()], dtype=np.uint64).view(np.int64)
+        for part, texts in text_slices(parts):
+            fp = np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, fp long")

@@ -19,11 +19,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textlake.llm.common import documents
-from textlake.llm.tokens import MEMO
+from textlake.llm.common import documents, text_slices
+from textlake.llm.tokens import Memo
 from textlake.session import ship_package
 
 MARK = "▁"
+#: Words of a generation of the memo.
+WORDS = 250_000
 _LOADED: dict[tuple[str, bool], "Counter"] = {}
 
 
@@ -47,7 +49,7 @@ class Counter:
         self.unknown = min(score for _, score in vocabulary) - 10.0
         pieces = {p for p, _ in vocabulary}
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
-        self.memo: dict[str, int] = {}
+        self.words = Memo(lambda w: self.viterbi(MARK + w), WORDS)
 
     def viterbi(self, word: str) -> int:
         """The number of pieces on the best path."""
@@ -87,14 +89,7 @@ class Counter:
         words = text.replace(" ", MARK).split(MARK)
         if not words[0]:
             words = words[1:]
-        memo, total = self.memo, 0
-        for w in words:
-            if (n := memo.get(w)) is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                n = memo[w] = self.viterbi(MARK + w)
-            total += n
-        return total
+        return sum(map(self.words.__getitem__, words))
 
 
 def counter(path: str, byte_fallback: bool = True) -> Counter:
@@ -110,8 +105,8 @@ def count_tokens(df: DataFrame, vocab: str, byte_fallback: bool = True, id_col:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocab, byte_fallback)
-        for part in parts:
-            counts = [c.count(t) for t in part["text"].to_pylist()]
+        for part, texts in text_slices(parts):
+            counts = [c.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long")

@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm.common import documents
-from textlake.llm.tokens import batches, encoder
+from textlake.llm.common import documents, text_slices
+from textlake.llm.tokens import encoder
 from textlake.session import ship_package
 
 NO_ID = np.iinfo(np.int64).min
@@ -57,19 +57,15 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, space
         shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         enc, sizes, docs = encoder(vocab, space), [], []
         ids = None
-        for part in parts:
-            if not part.num_rows:
-                continue
+        for part, texts in text_slices(parts):
             if ids is None:
                 name = f"{shard:06d}-{name}"
                 ids = files.open_output_stream(f"{root}/{name}.ids")
             docs.append(part["doc_id"].fill_null(int(NO_ID)).to_numpy(zero_copy_only=False))
-            texts = part["text"].to_pylist()
-            for a, b in batches(texts):
-                for x in enc.encode(texts[a:b]):
-                    x += end
-                    sizes.append(len(x) // 4)
-                    ids.write(np.frombuffer(x, "<u4").astype(kind).tobytes())
+            for x in enc.encode(texts):
+                x += end
+                sizes.append(len(x) // 4)
+                ids.write(np.frombuffer(x, "<u4").astype(kind).tobytes())
         if ids is not None:
             ids.close()
             offsets = np.zeros(len(sizes) + 1, dtype="<u8")

@@ -20,7 +20,8 @@ import numpy as np
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
-MEMO = 300_000
+#: Entries of a generation; a worker holds at most two of each memo.
+CHUNKS, WORDS = 120_000, 180_000
 
 # Letters, numbers and white space below U+0250, where all Unicode versions agree and composed forms stay as they are.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -34,9 +35,9 @@ _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Memo(dict):
-    """Values made on first use. Of two generations of `most` entries the older one is dropped when the newer is full."""
+    """Values made on first use. Of two generations of `most` entries the older one goes when the newer is full."""
 
-    def __init__(self, make, most: int = MEMO):
+    def __init__(self, make, most: int):
         super().__init__()
         self.make, self.most, self.old = make, most, {}
 
@@ -107,7 +108,7 @@ class Encoder:
         self.tok, self.space = load_tokenizer(path), space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words, self.chunks = Memo(self.word), Memo(self.chunk)
+        self.words, self.chunks = Memo(self.word, WORDS), Memo(self.chunk, CHUNKS)
         self.model = self.tok.model
 
     def whole(self, text: str) -> bytes:
@@ -134,15 +135,3 @@ def encoder(path: str, space: str) -> Encoder:
     if (path, space) not in _LOADED:
         _LOADED[path, space] = Encoder(path, space)
     return _LOADED[path, space]
-
-
-def batches(texts: list[str], most: int = 8_000_000):
-    """Slices of about so many characters, so that ids of few texts are held at once."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
