@@ -34,20 +34,27 @@ SIMILARITY = 0.8
 BUCKETS = 1 << 16
 #: Class keys are sent to all tasks up to so many rows (16 bytes each); beyond, they are joined by exchange.
 BROADCAST_ROWS = 1_000_000
+#: A line with more copies is common.
+COMMON = 100
 SPACE = "[\\x09\\x0B\\x0C\\x0D\\x20]+"
 
 
-def line_words(line: Column) -> Column:
-    """The lower-cased words of a line, one space between them."""
-    return F.trim(F.regexp_replace(F.lower(line), SPACE, " "))
+def clean_lines(text: Column) -> Column:
+    """The text in lower case, with one space between the words of a line and none around them.
+
+    Most texts are so already and only looked through; what is done, is done once per text, not per line.
+    """
+    low = F.lower(text)
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(low, SPACE, " "), " ?\n ?", "\n"))
+    return F.when(F.rlike(low, F.lit("[\\x09\\x0B\\x0C\\x0D]|  |^ | $|\\n | \\n")), spaced).otherwise(low)
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """doc_id, line_no (from 0), norm, k1, k2 of every line with enough words."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_or_empty(text_col), "\n", -1)).alias("line_no", "line"))
-    rows = rows.select("doc_id", "line_no", line_words(F.col("line")).alias("norm"))
-    rows = rows.where(F.col("norm").rlike(f"^([^ ]+ ){{{words - 1}}}"))
-    return rows.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.reverse("norm")))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(clean_lines(text_or_empty(text_col)), "\n", -1)).alias("line_no", "norm"))
+    rows = rows.where(F.rlike("norm", F.lit(f"^(?:[^ ]+ ){{{words - 1}}}")))
+    # The same hash with another seed.
+    return rows.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(1), "norm"))
 
 
 def bound(col: Column, f) -> Column:
@@ -88,7 +95,7 @@ def token_sets(lines: DataFrame, table: bytearray, words: int = WORDS) -> DataFr
         rank = F.ascii(F.substring(literal, bucket(t) + 1, F.lit(1)).cast("string")).cast("long")
         return F.shiftleft(rank, 57).bitwiseOR(F.shiftrightunsigned(t, 7))
 
-    return lines.withColumn("tokens", F.array_sort(F.array_distinct(F.transform(shingles(F.col("norm"), words), ordered))))
+    return lines.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(shingles(F.col("norm"), words), ordered))))
 
 
 def postings(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -104,15 +111,23 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = similarity
     lines = lines_of(df, id_col, text_col, words)
     at = F.struct("doc_id", "line_no")
-    firsts = materialise(lines.select("k1", "k2", at.alias("at")).groupBy("k1", "k2").agg(F.min("at").alias("at"), F.count("*").alias("copies")), "line-classes")
-
-    # Postings of classes, not of lines: copies fall together before and at the exchange.
-    sets = token_sets(lines, rarity(lines, words), words)
-    posted = postings(sets, t)
+    keyed = materialise(lines.select("doc_id", "line_no", "k1", "k2"), "line-keys")
+    firsts = materialise(keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies")), "line-classes")
+    table = rarity(lines, words)
+    sets = token_sets(lines, table, words)
+
+    # Copies of a common line need not be posted: its first line is. There are few such classes, as each has many lines;
+    # should they be many all the same, their copies are posted too and fall together below.
+    posting = lines
+    common = firsts.where(F.col("copies") > COMMON)
+    if common.count() <= BROADCAST_ROWS:
+        posting = lines.join(F.broadcast(common.select("k1", "k2", F.col("at").alias("first"))), ["k1", "k2"], "left")
+        posting = posting.where(F.col("first").isNull() | (F.col("first") == at))
+    posted = postings(token_sets(posting.select("k1", "k2", "norm"), table, words), t)
     by_token = Window.partitionBy("token")
     shared = posted.withColumn("lo", F.min("k1").over(by_token)).withColumn("hi", F.max("k1").over(by_token)).where("lo <> hi").drop("lo", "hi")
     shared = materialise(shared.dropDuplicates(["token", "k1", "k2"]), "line-postings")
-    keys = materialise(shared.select("k1", "k2").distinct(), "line-keys")
+    keys = materialise(shared.select("k1", "k2").distinct(), "line-candidates")
 
     few = keys.count() <= BROADCAST_ROWS
     dense = sets.join(F.broadcast(keys) if few else keys, ["k1", "k2"], "left_semi")
@@ -149,8 +164,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Of a class, all members but the first go, and the first too if the class has an earlier match.
     gone = firsts.join(near, ["k1", "k2"], "left").where("copies > 1 or near")
-    member = lines.select("k1", "k2", "doc_id", "line_no")
-    return member.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("at"))).select("doc_id", "line_no")
+    return keyed.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("at"))).select("doc_id", "line_no")
 
 
 def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
