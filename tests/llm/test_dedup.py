@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from conftest import EDGES, sql_rows
+from cases import EDGES, sql_rows
 from textlake.llm import exact_dedup, line_dedup, queries
 
 

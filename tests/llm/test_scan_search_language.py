@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import EDGES
+from cases import EDGES
 from textlake.llm import ann, langid, secret_scan
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from xxhash import xxh64_intdigest
 
-from conftest import EDGES
+from cases import EDGES
 from textlake.llm import simhash
 from textlake.llm.components import connected_components
 

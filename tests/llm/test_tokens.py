@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from conftest import EDGES
+from cases import EDGES
 from textlake.llm import bpe, packing, token_counts, token_files, tokens
 from textlake.llm.queries import vocabulary
 
