@@ -454,3 +454,8 @@ def grep_files(spark, sf_dir):
 
     files = corpus(spark, [os.path.dirname(os.path.dirname(os.path.abspath(__file__)))]).where("path like '%.py'")
     return grep.grep(files, GrepSpec(r"^def \w+", max_matches=EVERYTHING)).select("path", "line", "column", "text")
+
+
+@query("SELECT * FROM (VALUES ('/corpus'), ('/web')) AS t(directory)")
+def allowed_directories(spark, sf_dir):
+    return info.allowed_directories(spark, policy.PathPolicy.of(["/corpus", "/web"]))
