@@ -90,11 +90,13 @@ def words(tok, space: str, text: str) -> list[str]:
 
 def chunks(space: str, text: str) -> list[str] | None:
     """The text's chunks, or None if it must be encoded whole."""
-    if _CONTROL.search(text):
+    flat = text.replace("\n", " ")
+    plain = flat.isprintable()  # no white space but spaces and line feeds
+    if not plain and _CONTROL.search(text):
         return None
     if space == "dropped":
         return text.split()
-    if _UNCLEAR.search(text):
+    if (not plain or "  " in flat) and _UNCLEAR.search(text):
         return None
     first, *rest = text.split(" ")
     # "" after a cut is a space at the end of the text
