@@ -3,10 +3,17 @@ import random
 
 import pytest
 
+from xxhash import xxh64_intdigest
+
 from cases import EDGES, sql_rows
 from textlake.llm import exact_dedup, line_dedup, queries
 
 
+def xxhash(text):
+    h = xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_lines(rows):
     """Brute force: (index of row, line number) of removed lines, by the definition."""
     lines = []
@@ -14,7 +21,7 @@ def plain_lines(rows):
         for n, line in enumerate((t or "").split("\n")):
             words = [w for w in __import__("re").split(r"[\x09\x0B\x0C\x0D\x20]+", line.lower()) if w]
             if len(words) >= 5:
-                lines.append(((-1 if i is None else i, n), k, n, {tuple(words[j : j + 5]) for j in range(len(words) - 4)}))
+                lines.append(((-1 if i is None else i, xxhash(t), n), k, n, {tuple(words[j : j + 5]) for j in range(len(words) - 4)}))
     gone = set()
     for at, k, n, s in lines:
         if any(o < at and len(s & t) >= 0.8 * len(s | t) - 1e-9 for o, _, _, t in lines):
@@ -52,7 +59,7 @@ def test_lines_by_exchange_of_keys(docs, monkeypatch):
 
 
 def test_line_edges(docs):
-    rows = [r for r in EDGES if r[1] != "repeated id"]
+    rows = [*EDGES, (5, "The cat sat on the mat. " * 40), (20, "one two three four five\nb"), (20, "x\none two three four five"), (20, "one two three four five\nb")]
     out = line_dedup.dedup_lines(docs(*rows))
     assert out.columns[-2:] == ["token", "lines_removed"]
     assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, ((i, t) for (i, _), t in zip(rows, deduped(rows)))))

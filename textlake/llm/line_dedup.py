@@ -17,8 +17,8 @@ that line itself removed or not. So the result does not depend on any order of w
 Tokens are 57-bit parts of 64-bit hashes of the shingles; classes are keyed by two 64-bit hashes.
 
 Defined cases: a null text has no lines; blank and short lines always stay; a null doc_id sorts first; lines of any
-length are handled whole; repeated ids count as one document, whose lines are told apart by their text only; an empty
-table gives an empty result; extra columns pass through.
+length are handled whole; rows that repeat an id are ordered by a hash of their text, and rows that repeat both are one
+document that loses the same lines in all of them; an empty table gives an empty result; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -49,9 +49,14 @@ def clean_lines(text: Column) -> Column:
     return F.when(F.rlike(low, F.lit("[\\x09\\x0B\\x0C\\x0D]|  |^ | $|\\n | \\n")), spaced).otherwise(low)
 
 
+def row_hash(text_col: str) -> Column:
+    """What tells rows with the same id apart."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, line_no (from 0), norm, k1, k2 of every line with enough words."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(clean_lines(text_or_empty(text_col)), "\n", -1)).alias("line_no", "norm"))
+    """doc_id, row (a hash of the text), line_no (from 0), norm, k1, k2 of every line with enough words."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.posexplode(F.split(clean_lines(text_or_empty(text_col)), "\n", -1)).alias("line_no", "norm"))
     rows = rows.where(F.rlike("norm", F.lit(f"^(?:[^ ]+ ){{{words - 1}}}")))
     # The same hash with another seed.
     return rows.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(1), "norm"))
@@ -107,11 +112,11 @@ def postings(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id and line_no of every line that has an earlier match."""
+    """doc_id, row and line_no of every line that has an earlier match."""
     t = similarity
     lines = lines_of(df, id_col, text_col, words)
-    at = F.struct("doc_id", "line_no")
-    keyed = materialise(lines.select("doc_id", "line_no", "k1", "k2"), "line-keys")
+    at = F.struct("doc_id", "row", "line_no")
+    keyed = materialise(lines.select("doc_id", "row", "line_no", "k1", "k2"), "line-keys")
     firsts = materialise(keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies")), "line-classes")
     table = rarity(lines, words)
     sets = token_sets(lines, table, words)
@@ -164,14 +169,14 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Of a class, all members but the first go, and the first too if the class has an earlier match.
     gone = firsts.join(near, ["k1", "k2"], "left").where("copies > 1 or near")
-    return keyed.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "line_no") > F.col("at"))).select("doc_id", "line_no")
+    return keyed.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "line_no") > F.col("at"))).select("doc_id", "row", "line_no")
 
 
 def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the removed lines taken out of the text, plus lines_removed; documents without any pass unchanged."""
-    by_doc = removed.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    by_doc = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    joined = df.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")), "left")
+    joined = df.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")) & (row_hash(text_col) == F.col("_row")), "left")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
 
