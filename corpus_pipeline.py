@@ -36,7 +36,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keep the document with the smallest id."""
+    """Of each group of near copies, keep the document with the smallest id. Rows that repeat an id stay or go together."""
     groups = simhash.simhash_groups(docs)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "simhash-dropped")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
