@@ -14,7 +14,8 @@ from textlake.llm.queries import vocabulary
 
 ALPHABET = "abcdefghie ntsrlAEIOU'stvemld 0123 .,!?\n\t\x1c\x85\x0b éèüßñ日本Σς²½́😀<|endoftext|>İKﬁ"
 rnd = random.Random(3)
-TEXTS = [t or "" for _, t in EDGES] + ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000, "===" * 50, " lead", "trail ", "a\n\nb", "a \n b", "don't DON'T ' s"]
+LATIN = "abc  dSE'stvem \n\t\x0b\x85\xa0éß²½İœ.,!?-_ 019"
+TEXTS = ["".join(rnd.choice(LATIN) for _ in range(rnd.randint(0, 40))) for _ in range(3000)] + [t or "" for _, t in EDGES] + ["".join(rnd.choice(ALPHABET) for _ in range(rnd.randint(0, 60))) for _ in range(3000)] + ["a" * 5000, "ab" * 3000, "===" * 50, " lead", "trail ", "a\n\nb", "a \n b", "don't DON'T ' s"]
 
 
 def library(name):
@@ -24,7 +25,7 @@ def library(name):
 @pytest.mark.parametrize("name,space", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "attached")])
 def test_encoder_is_the_library(name, space):
     tok, enc = library(name), tokens.Encoder(vocabulary(name), space)
-    enc.words.most = enc.chunks.most = 500  # generations turn over
+    enc.words.most = enc.chunks.most = enc.latin_words.most = 500  # generations turn over
     for t, got in zip(TEXTS, enc.encode(TEXTS)):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 

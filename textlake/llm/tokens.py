@@ -5,8 +5,9 @@ around it; nor do those of the words (pre-tokens) in it. A word is encoded by th
 meets it; memos are bounded and keep what was used lately.
 
 * `dropped`: white space never yields an id (word_bpe_49k). Chunks are the words between white space.
-* `attached`: one space belongs to what follows it (byte_bpe_50k). Chunks are cut before single spaces. Texts where a
-  space has white space beside it (the cut then depends on its surroundings) go to the library whole.
+* `attached`: one space belongs to what follows it (byte_bpe_50k). Latin texts are cut into words at once. Others are cut
+  into chunks before single spaces; those where a space has white space beside it (the cut then depends on its
+  surroundings) go to the library whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
 #: Entries of a generation; a worker holds at most two of each memo.
 CHUNKS, WORDS = 120_000, 180_000
+#: The same for encoders that cut whole Latin texts, where chunks are rare.
+LATIN_CHUNKS, LATIN_WORDS = 20_000, 300_000
 
 # Letters, numbers and white space below U+0250, where all Unicode versions agree and composed forms stay as they are.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -111,6 +114,9 @@ class Encoder:
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
         self.words, self.chunks = Memo(self.word, WORDS), Memo(self.chunk, CHUNKS)
+        if space == "attached":
+            self.words, self.chunks = Memo(self.word, LATIN_CHUNKS), Memo(self.chunk, LATIN_CHUNKS)
+        self.latin_words = Memo(self.latin_word, LATIN_WORDS)
         self.model = self.tok.model
 
     def whole(self, text: str) -> bytes:
@@ -124,9 +130,22 @@ class Encoder:
             return self.whole(chunk)
         return b"".join(map(self.words.__getitem__, words(self.tok, self.space, chunk)))
 
+    def latin_word(self, word: str) -> bytes:
+        return self.word(word.encode().decode("latin-1").translate(_LETTERS))
+
+    def latin(self, text: str) -> bool:
+        """Whether the whole text can be cut here: Latin letters, no control characters, no special tokens."""
+        if not (text.isascii() or max(text) < "\u0250") or self.special and self.special.search(text):
+            return False
+        return text.replace("\n", " ").isprintable() or not _CONTROL.search(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        get, out = self.chunks.__getitem__, []
+        get, latin, cut, out = self.chunks.__getitem__, self.latin_words.__getitem__, _PATTERNS[self.space].findall, []
+        attached = self.space == "attached"
         for t in texts:
+            if attached and self.latin(t):
+                out.append(b"".join(map(latin, cut(t))))
+                continue
             c = chunks(self.space, t)
             out.append(self.whole(t) if c is None else b"".join(map(get, c)))
         return out
