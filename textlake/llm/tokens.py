@@ -21,9 +21,11 @@ import numpy as np
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
-#: Entries of a generation; a worker holds at most two of each memo.
+#: Entries of a generation, of the memos in bpe; a worker holds at most two of each memo.
 CHUNKS, WORDS = 120_000, 180_000
-#: The same for encoders that cut whole Latin texts, where chunks are rare.
+#: The same for encoders that drop white space.
+DROPPED = 300_000
+#: And for those that cut whole Latin texts, where chunks are rare.
 LATIN_CHUNKS, LATIN_WORDS = 20_000, 300_000
 
 # Letters, numbers and white space below U+0250, where all Unicode versions agree and composed forms stay as they are.
@@ -113,9 +115,8 @@ class Encoder:
         self.tok, self.space = load_tokenizer(path), space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.words, self.chunks = Memo(self.word, WORDS), Memo(self.chunk, CHUNKS)
-        if space == "attached":
-            self.words, self.chunks = Memo(self.word, LATIN_CHUNKS), Memo(self.chunk, LATIN_CHUNKS)
+        most = LATIN_CHUNKS if space == "attached" else DROPPED
+        self.words, self.chunks = Memo(self.word, most), Memo(self.chunk, most)
         self.latin_words = Memo(self.latin_word, LATIN_WORDS)
         self.model = self.tok.model
 
