@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import langid, line_dedup, packing, secret_scan, simhash
+from textlake.llm import langid, line_dedup, near_copies, packing, secret_scan
 from textlake.llm.queries import vocabulary
 from textlake.session import materialise
 
@@ -36,8 +36,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, keep the document with the smallest id. Rows that repeat an id stay or go together."""
-    groups = simhash.simhash_groups(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more), keep the document with the smallest id. Rows that repeat an id stay or go together."""
+    groups = near_copies.near_copies(docs)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "simhash-dropped")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
