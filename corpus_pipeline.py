@@ -16,6 +16,9 @@ from textlake.session import materialise
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosines of unrelated vectors have a standard deviation of 1 / sqrt(DIM); a document is rejected below four of them.
 LEAST_SCORE = 4 / langid.DIM**0.5
+#: But the cosine of n independent trigrams with their own language grows like sqrt(n): of fewer than these it can be as low
+#: in clean text (seen up to 30), so that such documents, which are too short to tell, stay.
+LEAST_VARIETY = 64
 
 
 def _as_documents(df: DataFrame) -> DataFrame:
@@ -24,10 +27,12 @@ def _as_documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents without letters and those that no learned language resembles more than chance does."""
+    """Reject documents without letters and those that no learned language resembles more than chance does, if they are
+    long enough to tell."""
     model = langid.train_documents(docs)
-    found = langid.predict(docs.select(*COLUMNS), model)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+    found = langid.predict(docs.select(*COLUMNS), model, variety_below=LEAST_SCORE)
+    told = (F.col("score") >= LEAST_SCORE) | (F.col("variety") < LEAST_VARIETY)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & told).select(*COLUMNS)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,6 +87,12 @@ def trigrams(text: str) -> np.ndarray:
     return points[:-2] << 42 | points[1:-1] << 21 | points[2:]
 
 
+def variety(text: str) -> float:
+    """The number of trigrams that count as independent: all where they differ, less where they repeat."""
+    counts = np.unique(trigrams(text), return_counts=True)[1].astype(np.float64)
+    return float(counts.sum() ** 2 / np.square(counts).sum()) if len(counts) else 0.0
+
+
 def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
@@ -152,21 +158,28 @@ def classify(texts: list[str], grams: Grams, prototypes: np.ndarray) -> tuple[np
     return best, score
 
 
-def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM) -> DataFrame:
-    """df with lang_pred and score. The model goes along with the task: languages times dim numbers."""
+def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, variety_below: float | None = None) -> DataFrame:
+    """df with lang_pred and score. The model goes along with the task: languages times dim numbers.
+
+    With variety_below also variety, of the texts whose score is below it, else null.
+    """
     ship_package(df.sparkSession)
     names = list(prototypes)
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.empty((0, dim))
-    columns = df.columns
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams(dim)
         for part, texts in text_slices(parts, text_col):
             best, score = classify([t or "" for t in texts], grams, matrix)
             found = [names[i] if i >= 0 else UNKNOWN for i in best]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.string()), pa.array(score)], names=[*columns, "lang_pred", "score"])
+            out = [*part.columns, pa.array(found, pa.string()), pa.array(score)]
+            if variety_below is not None:
+                out.append(pa.array([variety(t or "") if s < variety_below else None for t, s in zip(texts, score)], pa.float64()))
+            yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     schema = type(df.schema)([*df.schema.fields]).add("lang_pred", "string").add("score", "double")
+    if variety_below is not None:
+        schema = schema.add("variety", "double")
     return df.mapInArrow(run, schema)
 
 
