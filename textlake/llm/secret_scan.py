@@ -2,10 +2,12 @@
 
 Base kinds are found by pattern in the whole text. On top of them, parts of credentials are gathered: access
 identifiers, secrets and endpoints. Each part has a scope, its span widened by `reach` characters to both sides; parts
-whose scopes overlap are joined (an interval join: both lists sorted by start, one sweep). Weak candidates, that is long
+whose scopes overlap, which may be up to twice `reach` apart, are joined (an interval join: both lists sorted by start,
+one sweep). Weak candidates, that is long
 mixed tokens and named identifiers that mean nothing alone, are reported only when a complementary part is in scope:
 
-* `weak`: a token of 20 to 128 characters with upper case, lower case and digits, next to an identifier or endpoint;
+* `weak`: a token of 20 characters or more with upper case, lower case and digits, next to an identifier or endpoint;
+  one within a URL needs another identifier or endpoint, or that the URL is reported as an endpoint;
 * `identifier`: a named account, user or client id, next to a secret of any kind;
 * `endpoint`: a URL, next to a secret of any kind.
 
@@ -35,7 +37,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,128}(?![A-Za-z0-9+/_=-])")
+WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+NAME = re.compile(r"[A-Za-z0-9_-]+=(?!=|$)")
 NAMED = re.compile(r"""\b(?:user(?:name)?|login|account(?:_id)?|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", re.IGNORECASE | re.ASCII)
 NAMES = ("user", "login", "account", "clientid", "client_id", "accesskey", "access_key")
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,15}://[^\s\"'<>]+")
@@ -72,6 +76,18 @@ def in_scope(spans: list[Span], others: list[Span], reach: int) -> list[Span]:
     return out
 
 
+def url_tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Runs of token characters within a URL: of its authority, and of all behind it; names of query values do not count."""
+    at = text.index("://", start, end) + 3
+    behind = next((i for i in range(at, end) if text[i] in "/?#"), end)
+    for a, b in ((at, behind), (behind + 1, end)):
+        for m in RUN.finditer(text, a, b):
+            name = NAME.match(text, m.start(), m.end())
+            first = name.end() if name and text[m.start() - 1] in "?&;#" else m.start()
+            if m.end() - first >= 20:
+                yield first, m.end()
+
+
 def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     """What linking adds to the base spans."""
     low = text.lower()
@@ -91,9 +107,24 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
 
     weak = [(m.start(), 3, m.end()) for m in WEAK.finditer(text) if mixed(m[0]) and free(m.start(), m.end())]
     weak = [w for w in weak if not any(e[0] <= w[0] < e[2] for e in ends[max(0, bisect_left(ends, w) - 1) : bisect_left(ends, w)])]
-    weak = in_scope(weak, sorted([*identifiers, *ends]), reach)
-    secrets = sorted([*(s for s in base if s[1] != 1), *weak])
-    return [*weak, *in_scope(named, secrets, reach), *in_scope(ends, sorted([*secrets, *(s for s in base if s[1] == 1)]), reach)]
+    wide = 2 * reach  # both scopes
+    weak = in_scope(weak, sorted([*identifiers, *ends]), wide)
+    access = [s for s in base if s[1] == 1]
+    # Tokens within a URL: that URL alone is no complement.
+    inner = {e: [(x, 3, y) for x, y in url_tokens(text, e[0], e[2]) if mixed(text[x:y]) and free(x, y)] for e in ends}
+    for k, e in enumerate(ends):
+        by_name = set(in_scope(inner[e], identifiers, wide)) if inner[e] else ()
+        for w in inner[e]:
+            if w in by_name or (k and ends[k - 1][2] > w[0] - wide) or (k + 1 < len(ends) and ends[k + 1][0] < w[2] + wide):
+                weak.append(w)
+    while True:
+        secrets = sorted([*(s for s in base if s[1] != 1), *weak])
+        linked = in_scope(ends, sorted([*secrets, *access]), wide)
+        known = set(weak)
+        new = [w for e in linked for w in inner[e] if w not in known]
+        if not new:
+            return [*weak, *in_scope(named, secrets, wide), *linked]
+        weak += new
 
 
 def scan(text: str, reach: int = 200) -> list[Span]:
@@ -127,7 +158,7 @@ def span_digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(text: str, reach: int = 200, mark: str = "[REDACTED]") -> str:
-    """The text with every secret replaced; endpoints stay. Overlapping spans are replaced as one."""
+    """The text with every secret replaced; endpoints stay, but for secrets within them. Overlapping spans are replaced as one."""
     out, at = [], 0
     for a, kind, b in scan(text, reach):
         if kind == 5:
