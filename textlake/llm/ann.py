@@ -12,7 +12,8 @@ each. Recall is measured against brute force in the tests.
 
 Defined cases: vectors that are null, empty, all zero, hold null or non-finite components, or differ in length from the
 most common length take no part, nor does a null id; ties go to the smaller id; a row's own id is never its neighbour
-(rows that repeat an id are neighbours of others each); with fewer than k others, all are returned; an empty table gives
+(rows that repeat an id are neighbours of others each, and as queries have a list of k each, with ranks from 1, under
+the same query_id); with fewer than k others, all are returned; an empty table gives
 an empty result.
 """
 
@@ -109,10 +110,11 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, pref
                 yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "v", "perm"])
 
     # The index: every row, in the shared folder.
-    table = materialise(rows.mapInArrow(index, "vec_id long, v binary, perm binary"), "permutation-index")
+    indexed = rows.mapInArrow(index, "vec_id long, v binary, perm binary").withColumn("query_row", F.monotonically_increasing_id())
+    table = materialise(indexed, "permutation-index")
     deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vectors = table.withColumn("vb", deal(n_blocks)).withColumn("qb", all_of(q_blocks))
+    vectors = table.drop("query_row").withColumn("vb", deal(n_blocks)).withColumn("qb", all_of(q_blocks))
     queries = table.where(F.col("vec_id") % every == 0).withColumn("qb", deal(q_blocks)).withColumn("vb", all_of(n_blocks))
     n_pivots = len(points)
 
@@ -121,13 +123,13 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, pref
         if len(left) and len(right):
             load = lambda col, kind: np.frombuffer(b"".join(col), dtype=kind).reshape(len(col), -1)
             b = Block(right.vec_id.to_numpy(), load(right.v, np.float64), load(right.perm, np.int16), n_pivots)
-            for qid, q, perm in zip(left.vec_id.to_numpy(), load(left.v, np.float64), load(left.perm, np.int16)):
+            for row, qid, q, perm in zip(left.query_row.to_numpy(), left.vec_id.to_numpy(), load(left.v, np.float64), load(left.perm, np.int16)):
                 ids, scores = b.search(qid, q, perm, k, share)
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append(pd.DataFrame({"query_row": row, "query_id": qid, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
 
-    found = queries.groupBy("vb", "qb").cogroup(vectors.groupBy("vb", "qb")).applyInPandas(search, "query_id long, vec_id long, score double")
+    found = queries.groupBy("vb", "qb").cogroup(vectors.groupBy("vb", "qb")).applyInPandas(search, "query_row long, query_id long, vec_id long, score double")
     # At most k rows per query and block meet here.
-    best = found.groupBy("query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
+    best = found.groupBy("query_row", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("i", "x"))
     return ranked.select("query_id", (F.col("i") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
