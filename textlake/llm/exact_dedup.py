@@ -1,8 +1,9 @@
-"""Exact dedup: a tree-merge of sorted digest runs.
+"""Exact dedup: rounds of hash aggregation over runs of digests.
 
 Every input partition is a run of digests. In each round the runs of `fan_in` neighbouring partitions meet in one run:
 Spark merges equal digests before the exchange (so a run sends a digest once, however hot it is) and again behind it.
-After ceil(log(partitions) / log(fan_in)) rounds one run, dealt over all tasks by digest, is left.
+After ceil(log(partitions) / log(fan_in)) rounds, one at least, one run, dealt over all tasks by digest, is left. A run
+is a grouping key only: nothing is sorted, and up to fan_in partitions are one plain aggregation by digest.
 
 A digest stands for a text through SHA-256 and is verified at every level by the text's length and by an independent
 64-bit hash, which belong to the merge key: texts that differ in any of them are never merged.
