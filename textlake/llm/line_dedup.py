@@ -5,48 +5,57 @@ left alone. A line is removed if an earlier line, by (doc_id, line number), has
 that line itself removed or not. So the result does not depend on any order of work.
 
 1. Equal word sequences are one class, whose first line stands for it; later members are removed.
-2. Tokens are ordered by rarity: the frequency class of their bucket, counted over all lines in a table of fixed size,
-   then their hash. Any fixed order gives exact results; a rare-first one gives short posting lists.
-3. Prefix filter: two sets of sizes n and m with Jaccard t or more share a token among the first n - ceil(t n) + 1 of
-   one and m - ceil(t m) + 1 of the other. Only these are posted, with size and place, and dealt by token.
-4. Tokens that only one class posts are dropped. A posting is paired with the earliest class of its token first; only
-   lines for which no such pair holds go on to be paired with the others. Length filter: t n <= m <= n / t. Positional
-   filter: what can still be shared behind the places of the common token must suffice.
+2. A line of n tokens has at least a = ceil(0.8 n) of them in common with a match. So whatever the order of tokens, both
+   lines of a match share `l` tokens among the first n - a + l of each. By the order of hashes this is a cheap screen: only
+   lines that have `l` shared tokens there (l grows with n) can have a match. In a usual corpus few are left.
+3. Rarity: among the lines left, the frequency of every token is counted exactly. A token of one line only is the rarest
+   and cannot be shared, so a line with fewer than a shared tokens has no match; the others order theirs from rare to
+   common, ties by hash.
+4. Prefix filter: of the first n - a + 1 tokens in this order those that are shared are posted, with size and place. A
+   posting is paired with the earliest line of its token first; only lines for which no such pair holds go on to be
+   paired with the others. Length filter: 0.8 n <= m <= n / 0.8. Positional filter: what can still be shared behind the
+   places of the common token must suffice.
 5. Pairs are verified on the whole token sets.
 
-Tokens are 57-bit parts of 64-bit hashes of the shingles; classes are keyed by two 64-bit hashes.
+Very frequent tokens never meet in one task: the most frequent ones of a bounded sample of lines are counted map-side and
+joined by broadcast; the sample decides only by which way a token goes, not what comes out. Tokens are 64-bit hashes of
+the shingles; classes are keyed by two 64-bit hashes. Intermediate tables are deleted as soon as they have been used.
 
-Defined cases: a null text has no lines; blank and short lines always stay; a null doc_id sorts first; lines of any
-length are handled whole; rows that repeat an id are ordered by a hash of their text, and rows that repeat both are one
-document that loses the same lines in all of them; an empty table gives an empty result; extra columns pass through.
+Defined cases: a null text has no lines; blank and short lines always stay; a null doc_id sorts first; lines and texts of
+any length are handled whole, in time in proportion; rows that repeat an id are ordered by a hash of their text, and rows
+that repeat both are one document that loses the same lines in all of them; an empty table gives an empty result; extra
+columns pass through, whatever their names; a column that is named lines_removed is replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import text_or_empty
-from textlake.session import materialise
+from textlake.session import discard, materialise
 
 WORDS = 5
 SIMILARITY = 0.8
-BUCKETS = 1 << 16
-#: Class keys are sent to all tasks up to so many rows (16 bytes each); beyond, they are joined by exchange.
+#: Share of a line's tokens by which the screen looks beyond the shortest prefix.
+SCREEN = 0.03
+#: Line numbers by document are sent to all tasks up to so many lines; beyond, they are joined by exchange.
 BROADCAST_ROWS = 1_000_000
-#: A line with more copies is common.
-COMMON = 100
+#: The sample of lines in which frequent tokens are looked for, how often they must occur there, and how many there are at most.
+SAMPLE_LINES, FREQUENT, MOST_FREQUENT = 100_000, 50, 10_000
 SPACE = "[\\x09\\x0B\\x0C\\x0D\\x20]+"
 
 
 def clean_lines(text: Column) -> Column:
     """The text in lower case, with one space between the words of a line and none around them.
 
-    Most texts are so already and only looked through; what is done, is done once per text, not per line.
+    Most texts are so already; that is found by plain searches, so that patterns run only over the others.
     """
-    low = F.lower(text)
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(low, SPACE, " "), " ?\n ?", "\n"))
-    return F.when(F.rlike(low, F.lit("[\\x09\\x0B\\x0C\\x0D]|  |^ | $|\\n | \\n")), spaced).otherwise(low)
+    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
+    for part in ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n"):
+        odd = odd | F.contains(text, F.lit(part))
+    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), SPACE, " "), " ?\n ?", "\n"))
+    return F.when(odd, spaced).otherwise(F.lower(text))
 
 
 def row_hash(text_col: str) -> Column:
@@ -54,134 +63,173 @@ def row_hash(text_col: str) -> Column:
     return F.xxhash64(text_or_empty(text_col))
 
 
-def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, row (a hash of the text), line_no (from 0), norm, k1, k2 of every line with enough words."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.posexplode(F.split(clean_lines(text_or_empty(text_col)), "\n", -1)).alias("line_no", "norm"))
-    rows = rows.where(F.rlike("norm", F.lit(f"^(?:[^ ]+ ){{{words - 1}}}")))
-    # The same hash with another seed.
-    return rows.withColumn("k1", F.xxhash64("norm")).withColumn("k2", F.xxhash64(F.lit(1), "norm"))
-
-
 def bound(col: Column, f) -> Column:
     """f(col) with col computed once, however often f refers to it."""
     return F.element_at(F.transform(F.array(col), f), 1)
 
 
-def shingles(norm: Column, words: int = WORDS) -> Column:
-    """64-bit hashes of the line's shingles, repeats included."""
-    none = F.array().cast("array<bigint>")
+def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, row (a hash of the text), line_no (from 0), norm, w (its words) of every line with enough words."""
+    pieces = F.transform(F.split(clean_lines(text_or_empty(text_col)), "\n", -1), lambda line: F.struct(line.alias("norm"), F.split(line, " ").alias("w")))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.posexplode(pieces).alias("line_no", "x"))
+    return rows.where(F.size("x.w") >= words).select("doc_id", "row", "line_no", F.col("x.norm").alias("norm"), F.col("x.w").alias("w"))
 
-    def of(w: Column) -> Column:
-        n = F.size(w) - (words - 1)
-        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, words)))).otherwise(none)
 
-    return bound(F.split(norm, " "), of)
+def tokens(w: Column, words: int = WORDS) -> Column:
+    """The distinct 64-bit hashes of the shingles of an array of words, in ascending order."""
 
+    def of(h: Column) -> Column:
+        return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
 
-def bucket(token: Column) -> Column:
-    return F.shiftrightunsigned(token, 48).cast("int")
+    hashes = bound(F.transform(w, lambda x: F.xxhash64(x)), of)
+    return F.sort_array(F.array_distinct(F.slice(hashes, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(0)))))
 
 
-def rarity(lines: DataFrame, words: int = WORDS) -> bytearray:
-    """A byte per bucket: the frequency class (a log2) of the tokens that fall in it, counted over all lines."""
-    tokens = lines.select(F.explode(shingles(F.col("norm"), words)).alias("token"))
-    counts = tokens.groupBy(bucket(F.col("token")).alias("b")).count()
-    table = bytearray(BUCKETS)
-    for b, c in counts.select("b", F.least(F.floor(F.log2(F.col("count"))), F.lit(63)).cast("int")).collect():
-        table[b] = c + 1 if c < 63 else 63
-    return table
+def least_common(n: Column, similarity: float) -> Column:
+    """How many of its n tokens a line has in common with any match, at least."""
+    return F.ceil(F.lit(similarity) * n - 1e-9).cast("int")
 
 
-def token_sets(lines: DataFrame, table: bytearray, words: int = WORDS) -> DataFrame:
-    """lines with tokens: the distinct tokens in ascending order of (frequency class, hash), as single integers."""
-    literal = F.lit(bytes(table))
+def frequent_tokens(rows: DataFrame, n_lines: int, array: str) -> DataFrame:
+    """token, at most MOST_FREQUENT of them: those of many lines in a sample of about SAMPLE_LINES lines. rows: k1, array."""
+    sampled = rows.where(F.pmod("k1", F.lit(max(1, n_lines // SAMPLE_LINES))) == 0)
+    counts = sampled.select(F.explode(array).alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
+    return counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token")
 
-    def ordered(t: Column) -> Column:
-        rank = F.ascii(F.substring(literal, bucket(t) + 1, F.lit(1)).cast("string")).cast("long")
-        return F.shiftleft(rank, 57).bitwiseOR(F.shiftrightunsigned(t, 7))
 
-    return lines.withColumn("tokens", F.sort_array(F.array_distinct(F.transform(shingles(F.col("norm"), words), ordered))))
+def shared(rows: DataFrame, frequent: DataFrame, owner: str) -> DataFrame:
+    """rows (token, owner, ...) whose token has another owner too, with lines: how many rows the token has.
 
+    Frequent tokens are summed up where they are and come back by broadcast. The others are dealt by token once; both
+    the count and the join read that one exchange.
+    """
+    frequent = F.broadcast(frequent)
+    total = lambda df: df.groupBy("token").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"), F.count("*").alias("lines")).where("lo <> hi").select("token", "lines")
+    few = rows.join(frequent, "token", "left_anti").repartition("token")
+    many = rows.join(frequent, "token", "left_semi")
+    return few.join(total(few).hint("shuffle_hash"), "token").unionByName(many.join(F.broadcast(total(many)), "token"))
+
+
+def by_document(lines: DataFrame, value: Column, name: str) -> DataFrame:
+    """From doc_id, row, ... per line to a row per document with the list of the values."""
+    return lines.groupBy("doc_id", "row").agg(F.collect_set(value).alias(name))
+
+
+def with_lists(df: DataFrame, lists: DataFrame, n_lines: int, id_col: str, text_col: str, how: str) -> DataFrame:
+    """df joined with lists of lines by document; sent to all tasks if they are few enough, else by exchange."""
+    same = df[id_col].cast("long").eqNullSafe(lists["doc_id"]) & (F.xxhash64(F.coalesce(df[text_col].cast("string"), F.lit(""))) == lists["row"])
+    return df.join(F.broadcast(lists) if n_lines <= BROADCAST_ROWS else lists, same, how)
+
+
+def token_sets(df: DataFrame, firsts: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
+    """id (a number), k1, k2, at, n, tokens of the lines firsts (k1, k2, at) names; only these are shingled again."""
+    listed = materialise(by_document(firsts.select("k1", "k2", "at.*"), F.struct("line_no", "k1", "k2"), "picks"), "line-picks")
+    n_lines = listed.agg(F.sum(F.size("picks"))).first()[0] or 0
+    plain = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = with_lists(plain, listed, n_lines, "doc_id", "text", "inner")
+    line = bound(F.split(plain["text"].cast("string"), "\n", -1), lambda ls: F.transform("picks", lambda p: F.struct(p["line_no"].alias("line_no"), p["k1"].alias("k1"), p["k2"].alias("k2"), F.get(ls, p["line_no"]).alias("line"))))
+    rows = found.select(listed["doc_id"], listed["row"], F.explode(line).alias("x"))
+    rows = rows.select("x.k1", "x.k2", F.struct("doc_id", "row", "x.line_no").alias("at"), F.split(clean_lines(F.col("x.line")), " ").alias("w"))
+    rows = rows.select("k1", "k2", "at", tokens(F.col("w"), words).alias("tokens")).withColumn("n", F.size("tokens"))
+    sets = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    if sets.groupBy("k1", "k2").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        once = materialise(sets.dropDuplicates(["k1", "k2"]), "line-sets")
+        discard(sets)
+        sets = once
+    discard(listed)
+    return sets
+
+
+def postings(sets: DataFrame, t: float) -> DataFrame:
+    """token, id, at, n, place: what of the rarity-ordered prefixes other lines have too."""
+    n_lines = sets.count()
+    frequent = materialise(frequent_tokens(sets, n_lines, "tokens"), "line-frequent")
+    rows = sets.select("id", F.explode("tokens").alias("token"))
+    listed = shared(rows, frequent, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common"))
+    both = listed.join(sets.select("id", "at", "n"), "id")
+    need, single = least_common(F.col("n"), t), F.col("n") - F.size("common")
+    both = both.where(F.size("common") >= need).select("id", "at", "n", single.alias("single"), F.slice("common", F.lit(1), F.greatest(F.col("n") - need + 1 - single, F.lit(0))).alias("prefix"))
+    posted = both.select("id", "at", "n", "single", F.posexplode("prefix").alias("i", "x"))
+    out = materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings")
+    discard(frequent)
+    return out
+
+
+def later_matches(sets: DataFrame, posted: DataFrame, t: float) -> DataFrame:
+    """id of every line that has an earlier match."""
+    a, b = posted.alias("a"), posted.alias("b")
+
+    def fits() -> Column:
+        """Length and positional filters on a pair of postings of one token; a is earlier."""
+        na, nb = F.col("a.n"), F.col("b.n")
+        most = F.least(na - F.col("a.place"), nb - F.col("b.place"))
+        near = (F.least(na, nb) >= F.lit(t) * F.greatest(na, nb) - 1e-9) & (most >= F.lit(t / (1 + t)) * (na + nb) - 1e-9)
+        return (F.col("a.token") == F.col("b.token")) & (F.col("a.at") < F.col("b.at")) & near
 
-def postings(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """token, k1, n (size of the set), place, for the prefixes."""
-    n = F.size("tokens")
-    length = (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int")
-    rows = sets.select("k1", "k2", n.alias("n"), F.slice("tokens", F.lit(1), length).alias("prefix"))
-    return rows.select("k1", "k2", "n", F.posexplode("prefix").alias("place", "token"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+        side = lambda x: sets.select(F.col("id").alias(x), F.col("tokens").alias(f"t{x}"))
+        common = F.size(F.array_intersect("ta", "tb"))
+        ok = common >= F.lit(t) * (F.size("ta") + F.size("tb") - common) - 1e-9
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(ok).select(F.col("b").alias("id")).distinct()
+
+    # First against the earliest line of each token: one pair per posting.
+    lead = posted.groupBy("token").agg(F.min(F.struct("at", "id", "n", "place")).alias("x")).select("token", "x.*").alias("a")
+    led = materialise(verified(lead.join(b, fits())), "line-matches")
+    # Then, for what is left, against every earlier line that shares a token.
+    left = posted.join(led, "id", "left_anti").alias("b")
+    out = materialise(led.union(verified(a.join(left, fits()))), "line-matches")
+    discard(led)
+    return out
 
 
 def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, row and line_no of every line that has an earlier match."""
+    """doc_id, row and lines, the numbers of the lines that have an earlier match, of every document with any."""
     t = similarity
-    lines = lines_of(df, id_col, text_col, words)
-    at = F.struct("doc_id", "row", "line_no")
-    keyed = materialise(lines.select("doc_id", "row", "line_no", "k1", "k2"), "line-keys")
-    firsts = materialise(keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies")), "line-classes")
-    table = rarity(lines, words)
-    sets = token_sets(lines, table, words)
-
-    # Copies of a common line need not be posted: its first line is. There are few such classes, as each has many lines;
-    # should they be many all the same, their copies are posted too and fall together below.
-    posting = lines
-    common = firsts.where(F.col("copies") > COMMON)
-    if common.count() <= BROADCAST_ROWS:
-        posting = lines.join(F.broadcast(common.select("k1", "k2", F.col("at").alias("first"))), ["k1", "k2"], "left")
-        posting = posting.where(F.col("first").isNull() | (F.col("first") == at))
-    posted = postings(token_sets(posting.select("k1", "k2", "norm"), table, words), t)
-    by_token = Window.partitionBy("token")
-    shared = posted.withColumn("lo", F.min("k1").over(by_token)).withColumn("hi", F.max("k1").over(by_token)).where("lo <> hi").drop("lo", "hi")
-    shared = materialise(shared.dropDuplicates(["token", "k1", "k2"]), "line-postings")
-    keys = materialise(shared.select("k1", "k2").distinct(), "line-candidates")
-
-    few = keys.count() <= BROADCAST_ROWS
-    dense = sets.join(F.broadcast(keys) if few else keys, ["k1", "k2"], "left_semi")
-    full = materialise(dense.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.first("tokens").alias("tokens")), "line-sets")
-
-    ordered = shared.join(full.select("k1", "k2", "at"), ["k1", "k2"])
-
-    def fits(a: str, b: str) -> Column:
-        """Length and positional filters on a pair of postings of one token."""
-        na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-        most = F.lit(1) + F.least(na - F.col(f"{a}place"), nb - F.col(f"{b}place")) - 1
-        return (F.least(na, nb) >= F.lit(t) * F.greatest(na, nb) - 1e-9) & (most >= F.lit(t / (1 + t)) * (na + nb) - 1e-9)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The later classes of the pairs whose whole sets are similar enough."""
-        x = full.select(F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("tokens").alias("ta"))
-        y = full.select(F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("tokens").alias("tb"))
-        both = pairs.join(x, ["a1", "a2"]).join(y, ["b1", "b2"])
-        common = F.size(F.array_intersect("ta", "tb"))
-        return both.where(common >= F.lit(t) * (F.size("ta") + F.size("tb") - common) - 1e-9).select(F.col("b1").alias("k1"), F.col("b2").alias("k2")).distinct()
-
-    # First against the earliest class of each token: one pair per posting.
-    lead = ordered.groupBy("token").agg(F.min(F.struct("at", "k1", "k2", "n", "place")).alias("a"))
-    led = ordered.join(lead, "token").where("at > a.at")
-    led = led.select(F.col("a.k1").alias("a1"), F.col("a.k2").alias("a2"), F.col("a.n").alias("a_n"), F.col("a.place").alias("a_place"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
-    led_ok = materialise(verified(led.where(fits("a_", "b_")).select("a1", "a2", "b1", "b2").distinct()), "line-matches")
+    n = F.size("tokens")
+    beyond = (F.lit(1) + F.floor(F.lit(SCREEN) * n)).cast("int")
+    lines = lines_of(df, id_col, text_col, words).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), tokens(F.col("w"), words).alias("tokens"))
+    lines = lines.select("doc_id", "row", "line_no", "k1", "k2", F.least(beyond, n).alias("need"), F.slice("tokens", F.lit(1), F.least(n, n - least_common(n, t) + beyond)).alias("prefix"))
+    keyed = materialise(lines, "line-keys")
+
+    # The screen, by the order of hashes.
+    frequent = materialise(frequent_tokens(keyed, keyed.count(), "prefix"), "line-frequent")
+    rows = keyed.select("k1", "need", F.explode("prefix").alias("token"))
+    hits = shared(rows, frequent, "k1").groupBy("k1").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
+    left = materialise(hits.where("hits >= need").select("k1"), "line-candidates")
+    discard(frequent)
 
-    # Then, for what is left, against every earlier class that shares a token.
-    left = ordered.join(led_ok, ["k1", "k2"], "left_anti")
-    x = ordered.select("token", F.col("at").alias("a_at"), F.col("k1").alias("a1"), F.col("k2").alias("a2"), F.col("n").alias("a_n"), F.col("place").alias("a_place"))
-    y = left.select("token", F.col("at").alias("b_at"), F.col("k1").alias("b1"), F.col("k2").alias("b2"), F.col("n").alias("b_n"), F.col("place").alias("b_place"))
-    rest = y.join(x, "token").where("a_at < b_at").where(fits("a_", "b_")).select("a1", "a2", "b1", "b2").distinct()
-    near = led_ok.union(verified(rest)).withColumn("near", F.lit(True))
+    at = F.struct("doc_id", "row", "line_no")
+    firsts = keyed.join(left, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(at).alias("at"))
+    sets = token_sets(df, firsts, words, id_col, text_col)
+    posted = postings(sets, t)
+    near = later_matches(sets, posted, t)
 
     # Of a class, all members but the first go, and the first too if the class has an earlier match.
-    gone = firsts.join(near, ["k1", "k2"], "left").where("copies > 1 or near")
-    return keyed.join(gone.select("k1", "k2", "at", "near"), ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (F.struct("doc_id", "row", "line_no") > F.col("at"))).select("doc_id", "row", "line_no")
+    found = near.join(sets.select("id", "k1", "k2"), "id").select("k1", "k2", F.lit(True).alias("near"))
+    classes = keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies"))
+    gone = classes.join(found, ["k1", "k2"], "left").where("copies > 1 or near")
+    lost = keyed.select("doc_id", "row", "line_no", "k1", "k2").join(gone, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (at > F.col("at")))
+    out = materialise(by_document(lost, F.col("line_no"), "lines"), "lines-removed")
+    for table in (keyed, left, sets, posted, near):
+        discard(table)
+    return out
 
 
 def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with the removed lines taken out of the text, plus lines_removed; documents without any pass unchanged."""
-    by_doc = removed.groupBy(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
-    joined = df.join(by_doc, F.col(id_col).eqNullSafe(F.col("_doc")) & (row_hash(text_col) == F.col("_row")), "left")
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in df.columns], F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    n_lines = removed.agg(F.sum(F.size("lines"))).first()[0] or 0
+    joined = with_lists(df, removed, n_lines, id_col, text_col, "left")
+    old, gone = df[text_col], removed["lines"]
+
+    def kept(lines: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.get(lines, i)), "\n")
+
+    text = F.when(gone.isNull(), old).otherwise(bound(F.split(old, "\n", -1), kept))
+    columns = [text.alias(c) if c == text_col else df[c] for c in df.columns if c != "lines_removed"]
+    return joined.select(*columns, F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("lines_removed"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """df without later copies and near copies of lines, plus lines_removed."""
-    gone = materialise(removed_lines(df, id_col, text_col, words, similarity), "lines-removed")
-    return drop_lines(df, gone, id_col, text_col)
+    return drop_lines(df, removed_lines(df, id_col, text_col, words, similarity), id_col, text_col)
