@@ -18,7 +18,7 @@ that line itself removed or not. So the result does not depend on any order of w
 5. Pairs are verified on the whole token sets.
 
 Very frequent tokens never meet in one task: the most frequent ones of a bounded sample of lines are counted map-side and
-joined by broadcast; the sample decides only by which way a token goes, not what comes out. Tokens are 64-bit hashes of
+told by a list that goes with the tasks; the sample decides only by which way a token goes, not what comes out. Tokens are 64-bit hashes of
 the shingles; classes are keyed by two 64-bit hashes. Intermediate tables are deleted as soon as they have been used.
 
 Defined cases: a null text has no lines; blank and short lines always stay; a null doc_id sorts first; lines and texts of
@@ -42,7 +42,7 @@ SCREEN = 0.03
 #: Line numbers by document are sent to all tasks up to so many lines; beyond, they are joined by exchange.
 BROADCAST_ROWS = 1_000_000
 #: The sample of lines in which frequent tokens are looked for, how often they must occur there, and how many there are at most.
-SAMPLE_LINES, FREQUENT, MOST_FREQUENT = 100_000, 50, 10_000
+SAMPLE_LINES, FREQUENT, MOST_FREQUENT = 100_000, 50, 4_000
 SPACE = "[\\x09\\x0B\\x0C\\x0D\\x20]+"
 
 
@@ -90,24 +90,35 @@ def least_common(n: Column, similarity: float) -> Column:
     return F.ceil(F.lit(similarity) * n - 1e-9).cast("int")
 
 
-def frequent_tokens(rows: DataFrame, n_lines: int, array: str) -> DataFrame:
-    """token, at most MOST_FREQUENT of them: those of many lines in a sample of about SAMPLE_LINES lines. rows: k1, array."""
+def frequent_tokens(rows: DataFrame, n_lines: int, array: str) -> list[int]:
+    """At most MOST_FREQUENT tokens: those of many lines in a sample of about SAMPLE_LINES lines. rows: k1, array."""
     sampled = rows.where(F.pmod("k1", F.lit(max(1, n_lines // SAMPLE_LINES))) == 0)
     counts = sampled.select(F.explode(array).alias("token")).groupBy("token").count().where(F.col("count") >= FREQUENT)
-    return counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).select("token")
+    return [r["token"] for r in counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()]
 
 
-def shared(rows: DataFrame, frequent: DataFrame, owner: str) -> DataFrame:
-    """rows (token, owner, ...) whose token has another owner too, with lines: how many rows the token has.
+def among(found: list[int]) -> Column:
+    """Whether token is one of a bounded list."""
+    return F.expr(f"token IN ({', '.join(map(str, found))})") if found else F.lit(False)
 
-    Frequent tokens are summed up where they are and come back by broadcast. The others are dealt by token once; both
-    the count and the join read that one exchange.
+
+def shared(rows: DataFrame, frequent: list[int], owner: str) -> DataFrame:
+    """rows (token, owner) whose token has another owner too, with lines, by which tokens go from rare to common: how many
+    rows the token has, for frequent tokens in powers of two.
+
+    Frequent tokens are summed up where they are; what comes back is a list as short as theirs. The others are dealt by
+    token once; both the count and the join read that one exchange.
     """
-    frequent = F.broadcast(frequent)
     total = lambda df: df.groupBy("token").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"), F.count("*").alias("lines")).where("lo <> hi").select("token", "lines")
-    few = rows.join(frequent, "token", "left_anti").repartition("token")
-    many = rows.join(frequent, "token", "left_semi")
-    return few.join(total(few).hint("shuffle_hash"), "token").unionByName(many.join(F.broadcast(total(many)), "token"))
+    few = rows.where(~among(frequent)).repartition("token")
+    out = few.join(total(few).hint("shuffle_hash"), "token")
+    powers: dict[int, list[int]] = {}
+    for r in total(rows.where(among(frequent))).collect() if frequent else ():
+        powers.setdefault(1 << r["lines"].bit_length(), []).append(r["token"])
+    if not powers:
+        return out
+    lines = F.coalesce(*[F.when(among(found), F.lit(n).cast("long")) for n, found in sorted(powers.items())])
+    return out.unionByName(rows.where(among(frequent)).withColumn("lines", lines).where("lines is not null"))
 
 
 def by_document(lines: DataFrame, value: Column, name: str) -> DataFrame:
@@ -143,16 +154,14 @@ def token_sets(df: DataFrame, firsts: DataFrame, words: int, id_col: str, text_c
 def postings(sets: DataFrame, t: float) -> DataFrame:
     """token, id, at, n, place: what of the rarity-ordered prefixes other lines have too."""
     n_lines = sets.count()
-    frequent = materialise(frequent_tokens(sets, n_lines, "tokens"), "line-frequent")
+    frequent = frequent_tokens(sets, n_lines, "tokens")
     rows = sets.select("id", F.explode("tokens").alias("token"))
     listed = shared(rows, frequent, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common"))
     both = listed.join(sets.select("id", "at", "n"), "id")
     need, single = least_common(F.col("n"), t), F.col("n") - F.size("common")
     both = both.where(F.size("common") >= need).select("id", "at", "n", single.alias("single"), F.slice("common", F.lit(1), F.greatest(F.col("n") - need + 1 - single, F.lit(0))).alias("prefix"))
     posted = both.select("id", "at", "n", "single", F.posexplode("prefix").alias("i", "x"))
-    out = materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings")
-    discard(frequent)
-    return out
+    return materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings")
 
 
 def later_matches(sets: DataFrame, posted: DataFrame, t: float) -> DataFrame:
@@ -193,14 +202,12 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = materialise(lines, "line-keys")
 
     # The screen, by the order of hashes.
-    frequent = materialise(frequent_tokens(keyed, keyed.count(), "prefix"), "line-frequent")
-    rows = keyed.select("k1", "need", F.explode("prefix").alias("token"))
-    hits = shared(rows, frequent, "k1").groupBy("k1").agg(F.count("*").alias("hits"), F.min("need").alias("need"))
-    left = materialise(hits.where("hits >= need").select("k1"), "line-candidates")
-    discard(frequent)
+    frequent = frequent_tokens(keyed, keyed.count(), "prefix")
+    hits = shared(keyed.select("k1", F.explode("prefix").alias("token")), frequent, "k1").groupBy("k1").agg(F.count("*").alias("hits"))
+    hits = materialise(hits, "line-hits")
 
     at = F.struct("doc_id", "row", "line_no")
-    firsts = keyed.join(left, "k1", "left_semi").groupBy("k1", "k2").agg(F.min(at).alias("at"))
+    firsts = keyed.join(hits, "k1").where("hits >= need").groupBy("k1", "k2").agg(F.min(at).alias("at"))
     sets = token_sets(df, firsts, words, id_col, text_col)
     posted = postings(sets, t)
     near = later_matches(sets, posted, t)
@@ -208,10 +215,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Of a class, all members but the first go, and the first too if the class has an earlier match.
     found = near.join(sets.select("id", "k1", "k2"), "id").select("k1", "k2", F.lit(True).alias("near"))
     classes = keyed.groupBy("k1", "k2").agg(F.min(at).alias("at"), F.count("*").alias("copies"))
-    gone = classes.join(found, ["k1", "k2"], "left").where("copies > 1 or near")
+    # Written, so that Spark can split the copies of a hot line, which meet one row, over tasks.
+    gone = materialise(classes.join(found, ["k1", "k2"], "left").where("copies > 1 or near"), "line-gone")
     lost = keyed.select("doc_id", "row", "line_no", "k1", "k2").join(gone, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (at > F.col("at")))
     out = materialise(by_document(lost, F.col("line_no"), "lines"), "lines-removed")
-    for table in (keyed, left, sets, posted, near):
+    for table in (keyed, hits, sets, posted, near, gone):
         discard(table)
     return out
 
