@@ -68,21 +68,32 @@ def bound(col: Column, f) -> Column:
     return F.element_at(F.transform(F.array(col), f), 1)
 
 
-def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
-    """doc_id, row (a hash of the text), line_no (from 0), norm, w (its words) of every line with enough words."""
-    pieces = F.transform(F.split(clean_lines(text_or_empty(text_col)), "\n", -1), lambda line: F.struct(line.alias("norm"), F.split(line, " ").alias("w")))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.posexplode(pieces).alias("line_no", "x"))
-    return rows.where(F.size("x.w") >= words).select("doc_id", "row", "line_no", F.col("x.norm").alias("norm"), F.col("x.w").alias("w"))
-
+def hashed(norm: Column, words: int) -> Column:
+    """struct<k1, k2, h> of a clean line: two hashes of all of it, and the 64-bit hashes of its shingles in their order.
 
-def tokens(w: Column, words: int = WORDS) -> Column:
-    """The distinct 64-bit hashes of the shingles of an array of words, in ascending order."""
+    Used within the loop over a text's lines, so that rows carry hashes and no words.
+    """
 
-    def of(h: Column) -> Column:
+    def shingles(h: Column) -> Column:
         return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
 
-    hashes = bound(F.transform(w, lambda x: F.xxhash64(x)), of)
-    return F.sort_array(F.array_distinct(F.slice(hashes, F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(0)))))
+    def of(w: Column) -> Column:
+        h = F.slice(bound(F.transform(w, lambda x: F.xxhash64(x)), shingles), F.lit(1), F.size(w) - (words - 1))
+        return F.when(F.size(w) >= words, F.struct(F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(1), norm).alias("k2"), h.alias("h")))
+
+    return bound(F.split(norm, " "), of)
+
+
+def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+    """doc_id, row (a hash of the text), line_no (from 0), k1, k2, tokens of every line with enough words."""
+    pieces = F.transform(F.split(clean_lines(text_or_empty(text_col)), "\n", -1), lambda line: hashed(line, words))
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(text_col).alias("row"), F.posexplode(pieces).alias("line_no", "x"))
+    return rows.where("x is not null").select("doc_id", "row", "line_no", "x.k1", "x.k2", token_set(F.col("x.h")).alias("tokens"))
+
+
+def token_set(h: Column) -> Column:
+    """Distinct hashes in ascending order."""
+    return F.sort_array(F.array_distinct(h))
 
 
 def least_common(n: Column, similarity: float) -> Column:
@@ -134,14 +145,13 @@ def with_lists(df: DataFrame, lists: DataFrame, n_lines: int, id_col: str, text_
 
 def token_sets(df: DataFrame, firsts: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
     """id (a number), k1, k2, at, n, tokens of the lines firsts (k1, k2, at) names; only these are shingled again."""
-    listed = materialise(by_document(firsts.select("k1", "k2", "at.*"), F.struct("line_no", "k1", "k2"), "picks"), "line-picks")
+    listed = materialise(by_document(firsts.select("k1", "k2", "at.*"), F.col("line_no"), "picks"), "line-picks")
     n_lines = listed.agg(F.sum(F.size("picks"))).first()[0] or 0
     plain = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     found = with_lists(plain, listed, n_lines, "doc_id", "text", "inner")
-    line = bound(F.split(plain["text"].cast("string"), "\n", -1), lambda ls: F.transform("picks", lambda p: F.struct(p["line_no"].alias("line_no"), p["k1"].alias("k1"), p["k2"].alias("k2"), F.get(ls, p["line_no"]).alias("line"))))
-    rows = found.select(listed["doc_id"], listed["row"], F.explode(line).alias("x"))
-    rows = rows.select("x.k1", "x.k2", F.struct("doc_id", "row", "x.line_no").alias("at"), F.split(clean_lines(F.col("x.line")), " ").alias("w"))
-    rows = rows.select("k1", "k2", "at", tokens(F.col("w"), words).alias("tokens")).withColumn("n", F.size("tokens"))
+    pick = lambda ls: F.transform("picks", lambda i: F.struct(i.alias("line_no"), bound(clean_lines(F.get(ls, i)), lambda line: hashed(line, words)).alias("x")))
+    rows = found.select(listed["doc_id"], listed["row"], F.explode(bound(F.split(plain["text"].cast("string"), "\n", -1), pick)).alias("p"))
+    rows = rows.select("p.x.k1", "p.x.k2", F.struct("doc_id", "row", "p.line_no").alias("at"), token_set(F.col("p.x.h")).alias("tokens")).withColumn("n", F.size("tokens"))
     sets = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "line-sets")
     if sets.groupBy("k1", "k2").count().where("count > 1").limit(1).count():  # rows that repeat id and text
         once = materialise(sets.dropDuplicates(["k1", "k2"]), "line-sets")
@@ -197,7 +207,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     t = similarity
     n = F.size("tokens")
     beyond = (F.lit(1) + F.floor(F.lit(SCREEN) * n)).cast("int")
-    lines = lines_of(df, id_col, text_col, words).select("doc_id", "row", "line_no", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(1), "norm").alias("k2"), tokens(F.col("w"), words).alias("tokens"))
+    lines = lines_of(df, id_col, text_col, words)
     lines = lines.select("doc_id", "row", "line_no", "k1", "k2", F.least(beyond, n).alias("need"), F.slice("tokens", F.lit(1), F.least(n, n - least_common(n, t) + beyond)).alias("prefix"))
     keyed = materialise(lines, "line-keys")
 
