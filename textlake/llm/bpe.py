@@ -30,7 +30,8 @@ from textlake.llm.common import documents, text_slices
 from textlake.llm.tokens import CHUNKS, WORDS, Memo, byte_letters, chunks, load_tokenizer, words
 from textlake.session import ship_package
 
-PAIRS = 500_000
+#: Pairs of tokens whose compatibility is remembered, about 100 bytes each.
+PAIRS = 300_000
 _LOADED: dict[str, "Bpe"] = {}
 
 

@@ -26,8 +26,12 @@ from textlake.session import ship_package
 
 DIM = 1024
 UNKNOWN = "und"
-#: A worker's table of trigram vectors starts anew beyond so many rows (of DIM bytes).
-MOST_GRAMS = 60_000
+#: A worker's table of trigram vectors has so many rows (of DIM bytes) and starts anew when it is full.
+MOST_GRAMS = 32_768
+#: So many distinct trigrams are looked at together.
+STEP = 4_096
+#: So many letters' vectors are kept.
+MOST_LETTERS = 8_192
 _LETTER: np.ndarray | None = None
 
 
@@ -49,11 +53,12 @@ class Grams:
     def reset(self) -> None:
         self.codes = np.empty(0, dtype=np.int64)  # sorted
         self.rows = np.empty(0, dtype=np.int64)
-        self.table = np.empty((0, self.dim), dtype=np.int8)
+        if not hasattr(self, "table"):
+            self.table = np.empty((MOST_GRAMS, self.dim), dtype=np.int8)
 
     def letter(self, c: int) -> np.ndarray:
         if c not in self.letters:
-            if len(self.letters) > 50_000:
+            if len(self.letters) >= MOST_LETTERS:
                 self.letters.clear()
             self.letters[c] = (np.random.default_rng([20_011, c]).integers(0, 2, self.dim, dtype=np.int8) * 2 - 1).astype(np.int8)
         return self.letters[c]
@@ -63,18 +68,20 @@ class Grams:
         return np.roll(self.letter(a), 2) * np.roll(self.letter(b), 1) * self.letter(c)
 
     def index(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of the table for sorted distinct codes, which are added if they are new."""
-        at = np.searchsorted(self.codes, codes)
-        known = (at < len(self.codes)) & (self.codes[np.minimum(at, len(self.codes) - 1)] == codes) if len(self.codes) else np.zeros(len(codes), dtype=bool)
-        new = codes[~known]
+        """Rows of the table for at most STEP sorted distinct codes, which are added if they are new. Rows that were given
+        out before may stand for others afterwards."""
+        new = codes[~np.isin(codes, self.codes, assume_unique=True)]
+        if len(self.codes) + len(new) > len(self.table):
+            self.reset()
+            new = codes
         if len(new):
-            rows = np.arange(len(self.table), len(self.table) + len(new))
-            self.table = np.concatenate([self.table, np.stack([self.vector(int(c)) for c in new])])
+            rows = np.arange(len(self.codes), len(self.codes) + len(new))
+            for row, code in zip(rows, new.tolist()):
+                self.table[row] = self.vector(code)
             self.codes, self.rows = np.concatenate([self.codes, new]), np.concatenate([self.rows, rows])
             order = np.argsort(self.codes, kind="stable")
             self.codes, self.rows = self.codes[order], self.rows[order]
-            at = np.searchsorted(self.codes, codes)
-        return self.rows[at]
+        return self.rows[np.searchsorted(self.codes, codes)]
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -116,12 +123,9 @@ def train(df: DataFrame, text: Column, lang: Column, dim: int = DIM) -> dict[str
                 own = [t for t, n in zip(texts, langs) if n == name]
                 for a, b in slices(own):
                     codes, counts = np.unique(np.concatenate([trigrams(t) for t in own[a:b]]), return_counts=True)
-                    if len(grams.codes) > MOST_GRAMS:
-                        grams.reset()
-                    rows = grams.index(codes)
                     total = sums.setdefault(name, np.zeros(dim))
-                    for i in range(0, len(rows), 4_096):
-                        total += counts[i : i + 4_096].astype(np.float64) @ grams.table[rows[i : i + 4_096]]
+                    for i in range(0, len(codes), STEP):
+                        total += counts[i : i + STEP].astype(np.float64) @ grams.table[grams.index(codes[i : i + STEP])]
         if sums:
             yield pa.RecordBatch.from_pydict({"lang": list(sums), "v": [v.astype(np.int64) for v in sums.values()]}, schema=pa.schema([("lang", pa.string()), ("v", pa.list_(pa.int64()))]))
 
@@ -142,15 +146,19 @@ def classify(texts: list[str], grams: Grams, prototypes: np.ndarray) -> tuple[np
         flat = np.concatenate(own)
         if not len(flat) or not len(prototypes):
             continue
-        codes, inverse = np.unique(flat, return_inverse=True)
-        if len(grams.codes) > MOST_GRAMS:
-            grams.reset()
-        rows = grams.index(codes)
+        of = np.repeat(np.arange(b - a, dtype=np.int32), [len(x) for x in own])
+        order = np.argsort(flat, kind="stable")
+        flat, of = flat[order], of[order]
+        first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        codes, bounds = flat[first], np.append(first, len(flat))
         vectors = np.zeros((b - a, grams.dim), dtype=np.float32)
-        of = np.repeat(np.arange(b - a), [len(x) for x in own])
-        counts = np.bincount(of * len(codes) + inverse, minlength=(b - a) * len(codes)).reshape(b - a, len(codes)).astype(np.float32)
-        for i in range(0, len(rows), 4_096):
-            vectors += counts[:, i : i + 4_096] @ grams.table[rows[i : i + 4_096]].astype(np.float32)
+        # A matrix of documents times STEP trigrams at a time, however many there are.
+        for i in range(0, len(codes), STEP):
+            step = codes[i : i + STEP]
+            lo, hi = bounds[i], bounds[i + len(step)]
+            at = of[lo:hi].astype(np.int64) * len(step) + np.repeat(np.arange(len(step)), np.diff(bounds[i : i + len(step) + 1]))
+            counts = np.bincount(at, minlength=(b - a) * len(step)).reshape(b - a, len(step)).astype(np.float32)
+            vectors += counts @ grams.table[grams.index(step)].astype(np.float32)
         norm = np.sqrt(np.square(vectors, dtype=np.float64).sum(axis=1))
         has = (norm > 0) & np.array([len(x) > 0 for x in own])
         cosine = (vectors[has].astype(np.float64) @ prototypes.T) / norm[has, None]

@@ -24,8 +24,8 @@ from textlake.llm.tokens import Memo
 from textlake.session import ship_package
 
 MARK = "▁"
-#: Words of a generation of the memo.
-WORDS = 250_000
+#: Bytes of a generation of the memo.
+WORDS = 48 << 20
 _LOADED: dict[tuple[str, bool], "Counter"] = {}
 
 

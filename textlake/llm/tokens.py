@@ -15,18 +15,24 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from sys import getsizeof
 
 import numpy as np
 
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
-#: Entries of a generation, of the memos in bpe; a worker holds at most two of each memo.
-CHUNKS, WORDS = 120_000, 180_000
+#: Bytes of a generation of the memos, by what is kept; a worker holds at most two generations of each.
+MB = 1 << 20
+CHUNKS, WORDS = 24 * MB, 36 * MB
 #: The same for encoders that drop white space.
-DROPPED = 300_000
+DROPPED_CHUNKS, DROPPED_WORDS = 40 * MB, 16 * MB
 #: And for those that cut whole Latin texts, where chunks are rare.
-LATIN_CHUNKS, LATIN_WORDS = 20_000, 300_000
+LATIN_CHUNKS, LATIN_WORDS = 8 * MB, 48 * MB
+#: Longer keys are made anew each time: they hardly come again.
+LONG = 200
+#: What an entry takes beside key and value.
+ENTRY = 100
 
 # Letters, numbers and white space below U+0250, where all Unicode versions agree and composed forms stay as they are.
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
@@ -40,19 +46,22 @@ _LOADED: dict[tuple[str, str], "Encoder"] = {}
 
 
 class Memo(dict):
-    """Values made on first use. Of two generations of `most` entries the older one goes when the newer is full."""
+    """Values made on first use. Of two generations of `room` bytes the older one goes when the newer is full."""
 
-    def __init__(self, make, most: int):
+    def __init__(self, make, room: int):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.room, self.size, self.old = make, room, 0, {}
 
     def __missing__(self, key):
+        if len(key) > LONG:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        if len(self) >= self.most:
-            self.old = dict(self)
+        if self.size >= self.room:
+            self.old, self.size = dict(self), 0
             self.clear()
+        self.size += ENTRY + getsizeof(key) + getsizeof(value)
         self[key] = value
         return value
 
@@ -115,8 +124,9 @@ class Encoder:
         self.tok, self.space = load_tokenizer(path), space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        most = LATIN_CHUNKS if space == "attached" else DROPPED
-        self.words, self.chunks = Memo(self.word, most), Memo(self.chunk, most)
+        attached = space == "attached"
+        self.words = Memo(self.word, LATIN_CHUNKS if attached else DROPPED_WORDS)
+        self.chunks = Memo(self.chunk, LATIN_CHUNKS if attached else DROPPED_CHUNKS)
         self.latin_words = Memo(self.latin_word, LATIN_WORDS)
         self.model = self.tok.model
 
