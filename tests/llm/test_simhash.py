@@ -99,3 +99,14 @@ def test_query_on_the_table(spark, sf):
     fps = [plain_fingerprint(r.text) for r in rows]
     want = {r.doc_id: (f"{f:016x}", rows[g].doc_id) for r, f, g in zip(rows, fps, plain_components(fps, 4))}
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op1_simhash(spark, sf).collect()} == want
+
+
+def test_rows_without_and_with_repeated_ids(spark, docs, monkeypatch):
+    """Links go by fingerprint: also over a row without an id, and not between texts that only share an id."""
+    made = {"a": 0, "b": 0b1111, "c": 0b11111111, "d": 0xF0F0F0F0 << 16, "e": 0x123456789ABCDEF}
+    monkeypatch.setattr(simhash, "fingerprints", lambda df, *a: df.selectExpr("doc_id", "cast(text as long) as fp"))
+    rows = lambda *x: docs(*[(i, str(made[k])) for i, k in x])
+    out = lambda df: sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in simhash.simhash_groups(df).collect())
+    assert out(rows((1, "a"), (None, "b"), (3, "c"))) == [(-1, 1), (1, 1), (3, 1)]
+    assert out(rows((3, "a"), (5, "b"), (5, "e"), (9, "e"))) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+    assert out(rows((None, "d"))) == [(-1, None)]

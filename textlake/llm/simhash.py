@@ -11,7 +11,8 @@ dense groups of near copies cost about as much as sparse ones. Subtries with mor
 (by a hash of the fingerprint) which are joined pair by pair.
 
 Defined cases: a null text, or one without words, has fingerprint zero and is linked like any other; texts with fewer
-words than a shingle are one shingle; repeated ids are rows of their own; an empty table gives an empty result.
+words than a shingle are one shingle; rows that repeat an id, or have none, are rows of their own and link like any other
+(a null id is never a component's smallest, unless there is no other); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from textlake.llm.common import documents, text_slices
 from textlake.llm.components import connected_components
-from textlake.session import materialise, ship_package
+from textlake.session import discard, materialise, ship_package
 
 SEED = 42
 
@@ -224,11 +225,14 @@ def near_links(reps: DataFrame, budget: int = 4, tile: int = 200_000) -> DataFra
 def simhash_groups(df: DataFrame, words: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: the smallest doc_id that is reachable over links."""
     fps = materialise(fingerprints(df, words, id_col, text_col), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    links = near_links(reps.select("fp", "rep").where("rep is not null"), budget)
-    found = connected_components(links)
-    # Fingerprints of one row and without links need no join.
-    groups = reps.join(found, F.col("rep") == F.col("node"), "left").where("copies > 1 or component is not null")
-    groups = groups.select("fp", F.coalesce("component", "rep").alias("component"))
+    # Fingerprints are the nodes, whatever rows and ids have them.
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    found = connected_components(near_links(reps.select("fp", F.col("fp").alias("rep")), budget))
+    placed = reps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("component"))
+    placed = materialise(placed, "fingerprint-components")
+    whole = placed.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members")).where("members > 1")
+    # Fingerprints of one row and without links need no join. Written, so that Spark can split a hot fingerprint's rows.
+    groups = materialise(placed.join(whole, "component").select("fp", "component_id"), "fingerprint-groups")
+    discard(placed)
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return fps.join(groups, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.coalesce("component", "doc_id").alias("component_id"))
+    return fps.join(groups, "fp", "left").select("doc_id", hexed.alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
