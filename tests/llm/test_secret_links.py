@@ -35,3 +35,9 @@ def test_both_scopes_count():
     assert kinds(f"{ID} {gap(390)}{KEY}") == ["access", "weak"]
     assert kinds(f"{ID} {gap(400)}{KEY}") == ["access"]
     assert kinds(f"https://db.example.com {gap(300)}password=12345678") == ["endpoint", "assign"]
+
+
+def test_tokens_within_base_spans_are_not_reported_again():
+    h = "0f" * 16
+    text = f"{ID} token={h}.{h}.{h}.AbcD1234AbcD1234AbcD"
+    assert kinds(text) == ["access", "assign", "hex", "hex", "hex"]

@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -62,7 +63,8 @@ def in_scope(spans: list[Span], others: list[Span], reach: int) -> list[Span]:
     """The spans that have one of the others, not itself, within reach; both are sorted by start.
 
     Interval join: another span is in scope if it starts before the scope's end and ends behind its start. The running
-    maximum of ends, over the others in order of start, tells the latter with one search.
+    maximum of ends, over the others in order of start, tells the latter with one search. Callers whose two scopes are
+    both widened pass the sum of the two widths.
     """
     starts, ends, furthest = [o[0] for o in others], [], 0
     for o in others:
@@ -96,11 +98,12 @@ def linked_spans(text: str, base: list[Span], reach: int) -> list[Span]:
     identifiers = sorted([*named, *(s for s in base if s[1] == 1)])
     if not identifiers and not ends:
         return []
-    taken, starts = base, [s[0] for s in base]
+    starts, reached = [s[0] for s in base], list(accumulate((s[2] for s in base), max))
 
     def free(a: int, b: int) -> bool:
+        """Whether no base span that begins before b ends behind a."""
         i = bisect_left(starts, b)
-        return not any(taken[j][2] > a for j in range(max(0, i - 3), i))
+        return not i or reached[i - 1] <= a
 
     def mixed(t: str) -> bool:
         return any(c.isdigit() for c in t) and any(c.isupper() for c in t) and any(c.islower() for c in t)
