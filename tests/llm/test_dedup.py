@@ -94,6 +94,38 @@ def test_exact_query_against_sql(spark, sf):
     assert key(got) == key(want)
 
 
-def test_native_plans(docs):
-    plan = exact_dedup.exact_dedup(docs((1, "a")))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+def test_native_plans(docs, monkeypatch):
+    plans, write = [], line_dedup.materialise
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, label: plans.append(text(df)) or write(df, label))
+    rows = docs((1, "one two three four five six\nx"), (2, "one two three four five six"))
+    plans += [text(line_dedup.dedup_lines(rows)), text(exact_dedup.exact_dedup(docs((1, "a"))))]
+    assert len(plans) > 9
+    for plan in plans:
+        assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "Cartesian", "NestedLoop"))
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 16])
+def test_runs_of_each_level(spark, fan_in):
+    """Runs are merged level by level by sorting; what is left is the merge of all."""
+    rows = [(run, bytes([d]), 1, 7, 100 * run + d) for run in range(7) for d in range(run, 9) for _ in range(2)]
+    runs = spark.createDataFrame(rows, "run int, digest binary, n_bytes int, check long, doc_id long")
+    merged = exact_dedup.merge_runs(runs, 7, fan_in)
+    assert "SortAggregate" in merged._jdf.queryExecution().executedPlan().toString()
+    got = {bytes(r.digest)[0]: (r.keep_id, r.group_size) for r in merged.collect()}
+    assert got == {d: (100 * min(6, d) + d, 2 * min(7, d + 1)) for d in range(9)}
+
+
+def test_clashing_columns_and_a_document_of_many_lines(spark):
+    many = "\n".join(f"the line of number {i} is not like others" for i in range(100_000))
+    rows = [(1, "one two three four five\na", 1, 2, 3, 4), (2, "b\nOne two  three four five", 5, 6, 7, 8), (3, many + "\none two three four five", 9, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone int, lines int, lines_removed int, row int")
+    out = line_dedup.dedup_lines(df)
+    assert out.columns == ["doc_id", "text", "_gone", "lines", "row", "lines_removed"]
+    got = sorted(map(tuple, out.collect()))
+    assert got == [(1, "one two three four five\na", 1, 2, 4, 0), (2, "b", 5, 6, 8, 1), (3, many, 9, 0, 0, 1)]
+
+
+def test_frequent_tokens_go_another_way_with_the_same_result(docs, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FREQUENT", 2)
+    test_lines_by_brute_force(docs, 1)

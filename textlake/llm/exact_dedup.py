@@ -1,9 +1,11 @@
-"""Exact dedup: rounds of hash aggregation over runs of digests.
+"""Exact dedup: tree-merge of sorted runs of digests.
 
-Every input partition is a run of digests. In each round the runs of `fan_in` neighbouring partitions meet in one run:
-Spark merges equal digests before the exchange (so a run sends a digest once, however hot it is) and again behind it.
-After ceil(log(partitions) / log(fan_in)) rounds, one at least, one run, dealt over all tasks by digest, is left. A run
-is a grouping key only: nothing is sorted, and up to fan_in partitions are one plain aggregation by digest.
+Every input partition is a run of digests. In each round the runs of `fan_in` neighbouring partitions are exchanged and
+merged into one: a run is sorted by digest and combined before it is sent (so it sends a digest once, however hot it is),
+and behind the exchange the runs that meet are merged in sorted order, where rows with equal digests are neighbours and
+leave one: the id to keep and the size of the group. Both are sort-based aggregations by (run, digest), which Spark
+spills if need be; every level is dealt over all tasks by digest, so the last one, a single run, is as wide as the first.
+There are ceil(log(partitions) / log(fan_in)) rounds, one at least.
 
 A digest stands for a text through SHA-256 and is verified at every level by the text's length and by an independent
 64-bit hash, which belong to the merge key: texts that differ in any of them are never merged.
@@ -35,20 +37,21 @@ def digest_runs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
 
 
-def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = 16, keep: str = "max") -> DataFrame:
+def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = 4, keep: str = "max") -> DataFrame:
     """Merge runs of (run, digest, n_bytes, check, doc_id) until one is left: a row per text with keep_id, group_size."""
     pick = {"min": F.min, "max": F.max}[keep]
-    level = runs.select("run", *KEY, F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    # In a struct, for which Spark aggregates by sorting and merging instead of hashing.
+    level = runs.select("run", *KEY, F.struct(F.col("doc_id").alias("id")).alias("keep"), F.lit(1).cast("long").alias("group_size"))
     left = max(1, n_runs)
     while True:
         left = -(-left // fan_in)
         level = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int") if left > 1 else F.lit(0))
-        level = level.groupBy("run", *KEY).agg(pick("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+        level = level.groupBy("run", *KEY).agg(pick("keep").alias("keep"), F.sum("group_size").alias("group_size"))
         if left == 1:
-            return level.drop("run")
+            return level.select(*KEY, F.col("keep.id").alias("keep_id"), "group_size")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 16) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", fan_in: int = 4) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row; of equal texts the row with the `keep` id stays.
 
     Only texts that occur more than once go through the join back; its skewed side is what Spark can split at run time.
