@@ -26,13 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textlake.llm.common import documents, text_slices
+from textlake.llm.common import CACHES, documents, text_slices
 from textlake.llm.tokens import CHUNKS, WORDS, Memo, byte_letters, chunks, load_tokenizer, words
 from textlake.session import ship_package
 
 #: Pairs of tokens whose compatibility is remembered, about 100 bytes each.
 PAIRS = 300_000
 _LOADED: dict[str, "Bpe"] = {}
+CACHES.append(_LOADED)
 
 
 #: Machines here and everywhere Spark runs store integers little end first, as the ids are given.
@@ -234,7 +235,7 @@ def encode_documents(df: DataFrame, vocab: str, with_ids: bool = True, id_col: s
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = bpe(vocab)
-        for part, texts in text_slices(parts):
+        for part, texts in text_slices(parts, own=_LOADED):
             found = [coder.encode(t) for t in texts]
             decoded = [coder.decode(array("I", x)) for x in found]
             out = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,9 +29,33 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
 
 
-def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list]]:
+#: What operators keep in a worker from task to task.
+CACHES: list[dict] = []
+
+
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on, and share a machine with the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def keep_only(own: dict | None) -> None:
+    """Drop what operators other than the one that begins here have left in this worker."""
+    left = [c for c in CACHES if c is not own and c]
+    for c in left:
+        c.clear()
+    if left:
+        gc.collect()
+        trim()
+
+
+def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000, own: dict | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with their texts, of about `most` bytes each: what a task holds does not depend on how long
-    the texts of a batch are."""
+    the texts of a batch are. own: the operator's cache, the only one that stays."""
+    keep_only(own)
     for part in parts:
         if not part.num_rows:
             continue
@@ -39,3 +65,4 @@ def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int
         for a, b in zip(cuts, cuts[1:]):
             own = part.slice(a, b - a)
             yield own, own[column].to_pylist()
+    trim()

@@ -167,11 +167,12 @@ def classify(texts: list[str], grams: Grams, prototypes: np.ndarray) -> tuple[np
 
 
 def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", dim: int = DIM, variety_below: float | None = None) -> DataFrame:
-    """df with lang_pred and score. The model goes along with the task: languages times dim numbers.
+    """df with lang_pred and score, which replace columns of these names. The model goes along with the task: languages times dim numbers.
 
     With variety_below also variety, of the texts whose score is below it, else null.
     """
     ship_package(df.sparkSession)
+    df = df.drop("lang_pred", "score", "variety")
     names = list(prototypes)
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.empty((0, dim))
 

@@ -152,9 +152,9 @@ def token_sets(df: DataFrame, firsts: DataFrame, words: int, id_col: str, text_c
     pick = lambda ls: F.transform("picks", lambda i: F.struct(i.alias("line_no"), bound(clean_lines(F.get(ls, i)), lambda line: hashed(line, words)).alias("x")))
     rows = found.select(listed["doc_id"], listed["row"], F.explode(bound(F.split(plain["text"].cast("string"), "\n", -1), pick)).alias("p"))
     rows = rows.select("p.x.k1", "p.x.k2", F.struct("doc_id", "row", "p.line_no").alias("at"), token_set(F.col("p.x.h")).alias("tokens")).withColumn("n", F.size("tokens"))
-    sets = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "line-sets")
+    sets = materialise(rows.withColumn("id", F.monotonically_increasing_id()), "line-sets", hashes=True)
     if sets.groupBy("k1", "k2").count().where("count > 1").limit(1).count():  # rows that repeat id and text
-        once = materialise(sets.dropDuplicates(["k1", "k2"]), "line-sets")
+        once = materialise(sets.dropDuplicates(["k1", "k2"]), "line-sets", hashes=True)
         discard(sets)
         sets = once
     discard(listed)
@@ -171,7 +171,7 @@ def postings(sets: DataFrame, t: float) -> DataFrame:
     need, single = least_common(F.col("n"), t), F.col("n") - F.size("common")
     both = both.where(F.size("common") >= need).select("id", "at", "n", single.alias("single"), F.slice("common", F.lit(1), F.greatest(F.col("n") - need + 1 - single, F.lit(0))).alias("prefix"))
     posted = both.select("id", "at", "n", "single", F.posexplode("prefix").alias("i", "x"))
-    return materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings")
+    return materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings", hashes=True)
 
 
 def later_matches(sets: DataFrame, posted: DataFrame, t: float) -> DataFrame:
@@ -209,7 +209,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     beyond = (F.lit(1) + F.floor(F.lit(SCREEN) * n)).cast("int")
     lines = lines_of(df, id_col, text_col, words)
     lines = lines.select("doc_id", "row", "line_no", "k1", "k2", F.least(beyond, n).alias("need"), F.slice("tokens", F.lit(1), F.least(n, n - least_common(n, t) + beyond)).alias("prefix"))
-    keyed = materialise(lines, "line-keys")
+    keyed = materialise(lines, "line-keys", hashes=True)
 
     # The screen, by the order of hashes.
     frequent = frequent_tokens(keyed, keyed.count(), "prefix")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.llm.common import documents, text_slices
+from textlake.llm.common import documents, text_slices, trim
 from textlake.llm.components import connected_components
 from textlake.llm.simhash import SEED, near_links
 from textlake.session import discard, materialise, ship_package
@@ -143,6 +143,8 @@ def _groups(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterat
             held, size = [cols], len(cols[0])
     if held:
         yield tuple(np.concatenate(x) for x in zip(*held))
+    held.clear()
+    trim()
 
 
 def shared_prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:

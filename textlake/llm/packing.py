@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from textlake.llm.common import documents, text_slices
-from textlake.llm.tokens import encoder
+from textlake.llm.tokens import LOADED, encoder
 from textlake.session import ship_package
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -108,7 +108,7 @@ def pack_documents(df: DataFrame, vocab: str, end_id: int = 1, space: str = "dro
             rests.clear()
             held = 0
 
-        for part, texts in text_slices(parts):
+        for part, texts in text_slices(parts, own=LOADED):
             for doc, ids in zip(part["doc_id"].to_pylist(), enc.encode(texts), strict=True):
                 ids += end
                 total = len(ids) // 4

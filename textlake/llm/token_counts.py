@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textlake.llm.common import documents, text_slices
+from textlake.llm.common import CACHES, documents, text_slices
 from textlake.llm.tokens import Memo
 from textlake.session import ship_package
 
@@ -27,6 +27,7 @@ MARK = "▁"
 #: Bytes of a generation of the memo.
 WORDS = 48 << 20
 _LOADED: dict[tuple[str, bool], "Counter"] = {}
+CACHES.append(_LOADED)
 
 
 def sentencepiece_vocabulary(path: str) -> tuple[list[tuple[str, float]], int]:
@@ -105,7 +106,7 @@ def count_tokens(df: DataFrame, vocab: str, byte_fallback: bool = True, id_col:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocab, byte_fallback)
-        for part, texts in text_slices(parts):
+        for part, texts in text_slices(parts, own=_LOADED):
             counts = [c.count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(counts, pa.int64())], names=["doc_id", "n_tokens"])
 

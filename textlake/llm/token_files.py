@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.llm.common import documents, text_slices
-from textlake.llm.tokens import encoder
+from textlake.llm.tokens import LOADED, encoder
 from textlake.session import ship_package
 
 NO_ID = np.iinfo(np.int64).min
@@ -57,7 +57,7 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, space
         shard, name = TaskContext.get().partitionId(), uuid.uuid4().hex
         enc, sizes, docs = encoder(vocab, space), [], []
         ids = None
-        for part, texts in text_slices(parts):
+        for part, texts in text_slices(parts, own=LOADED):
             if ids is None:
                 name = f"{shard:06d}-{name}"
                 ids = files.open_output_stream(f"{root}/{name}.ids")

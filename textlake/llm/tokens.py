@@ -19,6 +19,8 @@ from sys import getsizeof
 
 import numpy as np
 
+from textlake.llm.common import CACHES
+
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 _UNCLEAR = re.compile(r" \s|\s ")
@@ -42,7 +44,8 @@ _PATTERNS = {
     "attached": re.compile(f"{_ENDS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
 }
 
-_LOADED: dict[tuple[str, str], "Encoder"] = {}
+LOADED: dict[tuple[str, str], "Encoder"] = {}
+CACHES.append(LOADED)
 
 
 class Memo(dict):
@@ -164,6 +167,6 @@ class Encoder:
 
 def encoder(path: str, space: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
-    if (path, space) not in _LOADED:
-        _LOADED[path, space] = Encoder(path, space)
-    return _LOADED[path, space]
+    if (path, space) not in LOADED:
+        LOADED[path, space] = Encoder(path, space)
+    return LOADED[path, space]
