@@ -173,3 +173,20 @@ def test_trim_space(spark):
     df = spark.createDataFrame([("\u00a0\t x y\u2003\n",)], "t string")
     assert df.select(text.trim_space(F.col("t"))).first()[0] == "x y"
     assert df.select(text.leading_blank(F.lit(" \tx"))).first()[0] == " \t"
+
+
+def test_only_line_feeds_end_lines_of_a_diff():
+    from textlake.operators.edit import unified_diff
+
+    assert unified_diff("p", "x\fy\nq r\rs\n", "x\fz\nq r\rs\n").split("\n")[3:] == ["-x\fy", "+x\fz", " q r\rs", ""]
+
+
+def test_sampled_detection_stops_early():
+    from textlake.functions import charset
+
+    russian = "Это обычный русский текст о погоде и природе. ".encode("cp1251")
+    n = charset.CHUNK
+    assert charset.detect_bytes(b"a" * n + russian * n, "sample") == ("ascii", 100, False)
+    weak = (b"caf\xe9 " + b"a" * 40) * (n // 46 + 1)
+    assert charset.guess(weak[:n])[1] < charset.HIGH
+    assert charset.detect_bytes(weak[:n] + russian * (2 * n // len(russian) + 1), "sample")[0] == charset.guess(weak[:n] + (russian * (2 * n // len(russian) + 1))[-n:])[0]

@@ -25,12 +25,12 @@ class Encoding:
 #: Canonical name, display name, aliases, description, Python codec.
 ENCODINGS = (
     Encoding("utf-8", "UTF-8", ("utf8", "ascii"), "Unicode, no conversion", "utf-8"),
-    Encoding("utf-16-le", "UTF-16-LE", ("utf16le", "utf-16le"), "Unicode, 16 bits, little end first", "utf-16-le"),
-    Encoding("utf-16-be", "UTF-16-BE", ("utf16be", "utf-16be"), "Unicode, 16 bits, big end first", "utf-16-be"),
+    Encoding("utf-16-le", "UTF-16 LE", ("utf16le", "utf-16le"), "Unicode, 16 bits, little end first", "utf-16-le"),
+    Encoding("utf-16-be", "UTF-16 BE", ("utf16be", "utf-16be"), "Unicode, 16 bits, big end first", "utf-16-be"),
     Encoding("windows-1251", "Windows-1251", ("cp1251",), "Cyrillic", "cp1251"),
     Encoding("koi8-r", "KOI8-R", ("koi8r",), "Russian", "koi8-r"),
     Encoding("koi8-u", "KOI8-U", ("koi8u",), "Ukrainian", "koi8-u"),
-    Encoding("ibm866", "IBM866", ("cp866", "dos-866"), "Cyrillic, DOS", "cp866"),
+    Encoding("ibm866", "CP866", ("cp866", "dos-866"), "Cyrillic, DOS", "cp866"),
     Encoding("iso-8859-5", "ISO-8859-5", ("iso88595", "cyrillic"), "Cyrillic, ISO", "iso8859-5"),
     Encoding("windows-1252", "Windows-1252", ("cp1252",), "Western European", "cp1252"),
     Encoding("iso-8859-1", "ISO-8859-1", ("iso88591", "latin1"), "Western European, ISO", "latin-1"),
@@ -216,8 +216,8 @@ def guess(data: bytes) -> tuple[str, int]:
 def detect_bytes(data: bytes, mode: str = "full") -> tuple[str, int, bool]:
     """(charset, confidence, has_bom) of a file's bytes.
 
-    full reads all. sample reads the first CHUNK bytes, and unless that is sure enough the middle and the last, of files
-    above CHUNK. chunked votes over all chunks.
+    full reads all. sample reads of files above CHUNK the first CHUNK bytes; unless these are sure enough (HIGH), it
+    decides by the first, the middle and the last CHUNK together. chunked votes over all chunks.
     """
     if mode not in ("full", "sample", "chunked"):
         raise ValueError(f"invalid mode: {mode}")
@@ -239,16 +239,10 @@ def detect_bytes(data: bytes, mode: str = "full") -> tuple[str, int, bool]:
         name = min(votes, key=lambda v: (-votes[v][0], v))
         return name, votes[name][1] // votes[name][0], False
     first = guess(data[:CHUNK])
-    if first[0] != "ascii" and first[1] >= HIGH and len(data) <= CHUNK:
+    if first[1] >= HIGH:
         return (*first, False)
-    parts = [data[:CHUNK]]
-    if len(data) > 2 * CHUNK:
-        middle = (len(data) - CHUNK) // 2
-        parts.append(data[middle : middle + CHUNK])
-    parts.append(data[-CHUNK:])
-    found = [guess(p) for p in parts]
-    strong = [f for f in found if f[0] != "ascii"] or found
-    return (*max(strong, key=lambda f: f[1]), False)
+    middle = (len(data) - CHUNK) // 2
+    return (*guess(data[:CHUNK] + (data[middle : middle + CHUNK] if len(data) > 2 * CHUNK else b"") + data[-CHUNK:]), False)
 
 
 def detect(content: Column, mode: str = "full") -> Column:
@@ -263,7 +257,8 @@ def detect(content: Column, mode: str = "full") -> Column:
         return pd.DataFrame(rows, columns=["charset", "confidence", "has_bom"])
 
     row = lambda name, confidence, bom: F.struct(F.lit(name).alias("charset") if isinstance(name, str) else name.alias("charset"), F.lit(confidence).alias("confidence"), F.lit(bom).alias("has_bom"))
-    marked, text = bom_type(content), content.cast("string")
+    seen = F.when(F.octet_length(content) > CHUNK, F.substring(content, 1, CHUNK)).otherwise(content) if mode == "sample" else content
+    marked, text = bom_type(content), seen.cast("string")
     valid = F.is_valid_utf8(text)
     ascii_only = F.octet_length(text) == F.char_length(text)
     easy = marked.isNotNull() | valid

@@ -156,10 +156,10 @@ def excluded_from_json_tree(name: Column, patterns: list[str]) -> Column:
 
 
 def excluded_from_search(rel_path: Column, patterns: list[str]) -> Column:
-    """A search pattern on the relative path, or for patterns without wildcards one of its components."""
+    """A search pattern on the relative path (without `/` also on the name), or for patterns without wildcards one of its components."""
     out = F.lit(False)
     for p in patterns:
-        out = out | rel_path.rlike(search_regex(p) if "**" in p else try_regex(p))
+        out = out | rel_path.rlike(search_regex(p))
         if not has_meta(p):
             out = out | F.array_contains(F.split(rel_path, "/"), F.lit(p))
     return out

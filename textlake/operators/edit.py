@@ -8,6 +8,7 @@ a match is an error of the row, and nothing of that row is changed.
 from __future__ import annotations
 
 import difflib
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -79,8 +80,13 @@ def apply_edits(source: str, edits: list[tuple[str, str]]) -> str:
     return source
 
 
+def diff_lines(text: str) -> list[str]:
+    """Lines with their ends; only a line feed ends a line."""
+    return [x for x in re.split(r"(?<=\n)", text) if x]
+
+
 def unified_diff(path: str, old: str, new: str) -> str:
-    return "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff(old.splitlines(keepends=True), new.splitlines(keepends=True), path, path, n=3))
+    return "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff(diff_lines(old), diff_lines(new), path, path, n=3))
 
 
 def edit_files(files: DataFrame, edits: list[tuple[str, str]], encoding: str | None = None, force_writable: bool = False) -> DataFrame:

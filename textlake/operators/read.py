@@ -44,17 +44,24 @@ def stats(files: DataFrame) -> DataFrame:
 def read_multiple(requests: DataFrame, files: DataFrame, encoding: str | None = None, allowed: list[str] | None = None) -> DataFrame:
     """A row per request (idx, path), in its place: content, error, error_code, detected_encoding, confidence.
 
-    Missing files, and with `allowed` paths outside those folders, are errors of their own rows.
+    Errors belong to their own rows: no path, with `allowed` a path outside those folders or (if files has real_path) a
+    link that leads out of them, a path that files lacks, and files without content, whose error and error_code, as
+    with_content() gives them, pass through.
     """
     from textlake.functions.policy import path_allowed
 
     found = files.join(requests.select("path").distinct(), "path", "left_semi")
     read = read_text(found, encoding)
     rows = requests.join(read.select("path", "content", "detected_encoding", "confidence"), "path", "left")
+    own = lambda name, kind: F.col(name) if name in files.columns else F.lit(None).cast(kind)
+    escaped = ~path_allowed(F.col("real_path"), allowed) if allowed is not None and "real_path" in files.columns else F.lit(False)
+    known = found.select("path", own("error", "string").alias("why"), F.coalesce(own("error_code", "string"), F.when(F.col("content").isNull(), "IO_ERROR")).alias("known_code"), F.coalesce(escaped, F.lit(False)).alias("escaped"))
+    rows = rows.join(known, "path", "left")
     denied = ~path_allowed(F.col("path"), allowed) if allowed is not None else F.lit(False)
-    code = F.when(F.coalesce(F.col("path"), F.lit("")) == "", "INVALID_PATH").when(denied, "ACCESS_DENIED").when(F.col("content").isNull(), "NOT_FOUND")
+    code = F.when(F.coalesce(F.col("path"), F.lit("")) == "", "INVALID_PATH").when(denied, "ACCESS_DENIED").when(F.col("escaped"), "SYMLINK_ESCAPE").when(F.col("known_code").isNotNull(), F.col("known_code")).when(F.col("content").isNull(), "NOT_FOUND")
     rows = rows.withColumn("error_code", code)
-    message = F.when(F.col("error_code") == "INVALID_PATH", "path is required").when(F.col("error_code") == "ACCESS_DENIED", "access denied").when(F.col("error_code") == "NOT_FOUND", "file not found")
+    said = F.when(F.col("error_code") == "SYMLINK_ESCAPE", "link leads out of the allowed folders").when(F.col("error_code").isin("PERMISSION", "IO_ERROR", "ENCODING"), F.coalesce("why", F.lit("failed to read file")))
+    message = F.when(F.col("error_code") == "INVALID_PATH", "path is required").when(F.col("error_code") == "ACCESS_DENIED", "access denied").when(F.col("error_code") == "NOT_FOUND", "file not found").otherwise(said)
     ok = F.col("error_code").isNull()
     return rows.select("idx", "path", F.when(ok, F.col("content")).alias("content"), message.alias("error"), "error_code", F.when(ok, F.col("detected_encoding")).alias("detected_encoding"), F.when(ok, F.col("confidence")).alias("confidence"))
 

@@ -94,9 +94,9 @@ def grep_context(spark, sf_dir):
     return found.select("path", "line", "column", "text", F.array_join("before", "\n").alias("before"), F.array_join("after", "\n").alias("after"))
 
 
-@query(_found(r"contains(text, 'queau') AND regexp_matches(path, '/doc_[^/]*\.(txt|md)$') AND NOT regexp_matches(path, '/doc_1[^/]*$')", "^(.*?)queau"))
+@query(_found(r"contains(text, 'ou') AND regexp_matches(path, '/doc_[^/]*\.(txt|md)$') AND NOT regexp_matches(path, '/doc_1[^/]*$')", "^(.*?)ou"))
 def grep_include_exclude(spark, sf_dir):
-    return _matches(grep.matches(virtual.vfiles(spark, sf_dir), GrepSpec("queau", include=["*.txt", "*.md"], exclude=["doc_1*"])))
+    return _matches(grep.matches(virtual.vfiles(spark, sf_dir), GrepSpec("ou", include=["*.txt", "*.md"], exclude=["doc_1*"])))
 
 
 @query(
@@ -195,6 +195,16 @@ def read_multiple(spark, sf_dir):
     return _requests(spark, sf_dir).select("idx", "path", "content", "error_code")
 
 
+@query(f"WITH {V} SELECT doc_id AS idx, path, CASE doc_id % 4 WHEN 0 THEN text END AS content, CASE doc_id % 4 WHEN 1 THEN 'PERMISSION' WHEN 2 THEN 'IO_ERROR' WHEN 3 THEN 'SYMLINK_ESCAPE' END AS error_code, CASE doc_id % 4 WHEN 1 THEN 'no access' WHEN 2 THEN 'failed to read file' WHEN 3 THEN 'link leads out of the allowed folders' END AS error FROM v")
+def read_multiple_errors(spark, sf_dir):
+    """Files that are there but cannot be read, or whose real path is elsewhere."""
+    files, kind = virtual.vfiles(spark, sf_dir), F.pmod(F.col("doc_id"), F.lit(4))
+    files = files.withColumn("content", F.when(~kind.isin(1, 2), F.col("content"))).withColumn("real_path", F.when(kind == 3, F.lit("/elsewhere/x")).otherwise(F.col("path")))
+    files = files.withColumn("error", F.when(kind == 1, "no access")).withColumn("error_code", F.when(kind == 1, "PERMISSION"))
+    out = read.read_multiple(files.select(F.col("doc_id").alias("idx"), "path"), files.drop("doc_id"), "utf-8", ["/corpus"])
+    return out.select("idx", "path", "content", "error_code", "error")
+
+
 @query(
     f"""WITH {R} SELECT count(*) FILTER (error_code IS NULL) AS success_count, count(*) FILTER (error_code IS NOT NULL) AS error_count,
   string_agg(path || ': ' || CASE error_code WHEN 'NOT_FOUND' THEN 'file not found' ELSE 'access denied' END, chr(10) ORDER BY idx) FILTER (error_code IS NOT NULL) AS errors FROM a"""
@@ -253,12 +263,21 @@ def bom_add(spark, sf_dir):
 # Encodings
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{e.name}', '{e.display_name}', '{','.join(e.aliases)}')" for e in charset.ENCODINGS) + ") AS t(name, display_name, aliases)")
+#: Fixed values, written out: name, display name, aliases.
+LISTED = """('utf-8', 'UTF-8', 'utf8,ascii'), ('utf-16-le', 'UTF-16 LE', 'utf16le,utf-16le'), ('utf-16-be', 'UTF-16 BE', 'utf16be,utf-16be'),
+  ('windows-1251', 'Windows-1251', 'cp1251'), ('koi8-r', 'KOI8-R', 'koi8r'), ('koi8-u', 'KOI8-U', 'koi8u'), ('ibm866', 'CP866', 'cp866,dos-866'), ('iso-8859-5', 'ISO-8859-5', 'iso88595,cyrillic'),
+  ('windows-1252', 'Windows-1252', 'cp1252'), ('iso-8859-1', 'ISO-8859-1', 'iso88591,latin1'), ('iso-8859-15', 'ISO-8859-15', 'iso885915,latin9'),
+  ('windows-1250', 'Windows-1250', 'cp1250'), ('iso-8859-2', 'ISO-8859-2', 'iso88592,latin2'), ('windows-1253', 'Windows-1253', 'cp1253'), ('iso-8859-7', 'ISO-8859-7', 'iso88597,greek'),
+  ('windows-1254', 'Windows-1254', 'cp1254'), ('iso-8859-9', 'ISO-8859-9', 'iso88599,latin5'), ('windows-1255', 'Windows-1255', 'cp1255'), ('windows-1256', 'Windows-1256', 'cp1256'),
+  ('windows-1257', 'Windows-1257', 'cp1257'), ('windows-1258', 'Windows-1258', 'cp1258'), ('windows-874', 'Windows-874', 'cp874,tis-620')"""
+
+
+@query(f"SELECT * FROM (VALUES {LISTED}) AS t(name, display_name, aliases)")
 def encodings_list(spark, sf_dir):
     return charset.encodings(spark).select("name", "display_name", F.array_join("aliases", ",").alias("aliases"))
 
 
-@query("WITH a AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{e.name}')" for a, e in charset.BY_NAME.items()) + ") AS t(alias, name)) SELECT doc_id, a.name FROM documents LEFT JOIN a ON a.alias = CASE doc_id % 4 WHEN 0 THEN 'cp1251' WHEN 1 THEN 'latin1' WHEN 2 THEN 'utf8' ELSE 'unknown' END")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'windows-1251' WHEN 1 THEN 'iso-8859-1' WHEN 2 THEN 'utf-8' END AS name FROM documents")
 def encoding_alias_lookup(spark, sf_dir):
     asked = F.element_at(F.array(*map(F.lit, ("CP1251", "Latin1", "utf8", "unknown"))), F.pmod(F.col("doc_id"), F.lit(4)).cast("int") + 1)
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", charset.canonical(asked).alias("name"))
@@ -323,6 +342,12 @@ def search_glob(spark, sf_dir):
     return search.found_entries(_entries(spark, sf_dir), "*1*").select("path", "is_dir")
 
 
+@query(_search("NOT contains(rel, '1')"))
+def search_exclude_by_name(spark, sf_dir):
+    """A pattern without `/` excludes by name at every depth, and what is below."""
+    return search.found_entries(_entries(spark, sf_dir), "**", exclude=["*1*"]).select("path", "is_dir")
+
+
 @query(_search("regexp_matches(rel, '(^|/)[^/]*[0-5]$')"))
 def search_doublestar(spark, sf_dir):
     return search.found_entries(_entries(spark, sf_dir), "**/*[0-5]").select("path", "is_dir")

@@ -60,11 +60,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a single machine a folder of our own where it
+    is unset."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
     app = spark.sparkContext.applicationId
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="textlake-shared-")
         atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
@@ -76,11 +79,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/textlake/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives the loss of executors."""
+def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back: cuts lineage and survives the loss of executors.
+
+    hashes: its values hardly repeat, so that dictionaries are not worth their making.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._textlake_path = path
     return out
