@@ -28,7 +28,7 @@ _UNCLEAR = re.compile(r" \s|\s ")
 MB = 1 << 20
 CHUNKS, WORDS = 24 * MB, 36 * MB
 #: The same for encoders that drop white space.
-DROPPED_CHUNKS, DROPPED_WORDS = 40 * MB, 16 * MB
+DROPPED_CHUNKS, DROPPED_WORDS = 56 * MB, 24 * MB
 #: And for those that cut whole Latin texts, where chunks are rare.
 LATIN_CHUNKS, LATIN_WORDS = 8 * MB, 48 * MB
 #: Longer keys are made anew each time: they hardly come again.
