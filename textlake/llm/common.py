@@ -63,6 +63,6 @@ def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int
         group = (np.cumsum(sizes) - sizes) // most
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), part.num_rows]
         for a, b in zip(cuts, cuts[1:]):
-            own = part.slice(a, b - a)
-            yield own, own[column].to_pylist()
+            piece = part.slice(a, b - a)
+            yield piece, piece[column].to_pylist()
     trim()
