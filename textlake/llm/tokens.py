@@ -4,10 +4,11 @@ Both vocabularies split a text at white space before they merge anything, so a c
 around it; nor do those of the words (pre-tokens) in it. A word is encoded by the library's model when a worker first
 meets it; memos are bounded and keep what was used lately.
 
+Latin texts are cut into words at once. Others are cut into chunks first:
+
 * `dropped`: white space never yields an id (word_bpe_49k). Chunks are the words between white space.
-* `attached`: one space belongs to what follows it (byte_bpe_50k). Latin texts are cut into words at once. Others are cut
-  into chunks before single spaces; those where a space has white space beside it (the cut then depends on its
-  surroundings) go to the library whole.
+* `attached`: one space belongs to what follows it (byte_bpe_50k). Texts are cut into chunks before single spaces; those
+  where a space has white space beside it (the cut then depends on its surroundings) go to the library whole.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from textlake.llm.common import CACHES
 
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
+_NOT_LATIN = re.compile("[^\0-\u024f]")
 _UNCLEAR = re.compile(r" \s|\s ")
 #: Bytes of a generation of the memos, by what is kept; a worker holds at most two generations of each.
 MB = 1 << 20
 CHUNKS, WORDS = 24 * MB, 36 * MB
-#: The same for encoders that drop white space.
-DROPPED_CHUNKS, DROPPED_WORDS = 56 * MB, 24 * MB
-#: And for those that cut whole Latin texts, where chunks are rare.
-LATIN_CHUNKS, LATIN_WORDS = 8 * MB, 48 * MB
+#: The same for words of Latin texts; a lower-cased vocabulary has room for the rare ones too.
+LATIN_WORDS = {"dropped": 64 * MB, "attached": 48 * MB}
 #: Longer keys are made anew each time: they hardly come again.
 LONG = 200
 #: What an entry takes beside key and value.
@@ -40,7 +40,7 @@ ENTRY = 100
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
 _ENDS = "'s|'t|'re|'ve|'m|'ll|'d"
 _PATTERNS = {
-    "dropped": re.compile(f"{_ENDS}|[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+"),
+    "dropped": re.compile(f"[{_L}]+|[{_N}]|{_ENDS}|[^{_S}{_L}{_N}]+"),
     "attached": re.compile(f"{_ENDS}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"),
 }
 
@@ -93,7 +93,7 @@ def load_tokenizer(path: str):
 
 def words(tok, space: str, text: str) -> list[str]:
     """The text's pre-tokens in byte letters. Latin text is cut here, all other by the tokenizer's own parts."""
-    if text and max(text) < "\u0250":
+    if not _NOT_LATIN.search(text):
         if space == "dropped":
             text = text.lower()
         found = _PATTERNS[space].findall(text)
@@ -127,10 +127,9 @@ class Encoder:
         self.tok, self.space = load_tokenizer(path), space
         special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        attached = space == "attached"
-        self.words = Memo(self.word, LATIN_CHUNKS if attached else DROPPED_WORDS)
-        self.chunks = Memo(self.chunk, LATIN_CHUNKS if attached else DROPPED_CHUNKS)
-        self.latin_words = Memo(self.latin_word, LATIN_WORDS)
+        self.words = Memo(self.word, WORDS)
+        self.chunks = Memo(self.chunk, CHUNKS)
+        self.latin_words = Memo(self.latin_word, LATIN_WORDS[space])
         self.model = self.tok.model
 
     def whole(self, text: str) -> bytes:
@@ -145,20 +144,22 @@ class Encoder:
         return b"".join(map(self.words.__getitem__, words(self.tok, self.space, chunk)))
 
     def latin_word(self, word: str) -> bytes:
-        return self.word(word.encode().decode("latin-1").translate(_LETTERS))
+        if not (word.isascii() and word.isprintable()) or " " in word:
+            word = word.encode().decode("latin-1").translate(_LETTERS)
+        return self.word(word)
 
     def latin(self, text: str) -> bool:
         """Whether the whole text can be cut here: Latin letters, no control characters, no special tokens."""
-        if not (text.isascii() or max(text) < "\u0250") or self.special and self.special.search(text):
+        if _NOT_LATIN.search(text) or self.special and self.special.search(text):
             return False
         return text.replace("\n", " ").isprintable() or not _CONTROL.search(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         get, latin, cut, out = self.chunks.__getitem__, self.latin_words.__getitem__, _PATTERNS[self.space].findall, []
-        attached = self.space == "attached"
+        lowered = self.space == "dropped"
         for t in texts:
-            if attached and self.latin(t):
-                out.append(b"".join(map(latin, cut(t))))
+            if self.latin(t):
+                out.append(b"".join(map(latin, cut(t.lower() if lowered else t))))
                 continue
             c = chunks(self.space, t)
             out.append(self.whole(t) if c is None else b"".join(map(get, c)))
