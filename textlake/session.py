@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -92,10 +93,21 @@ def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote."""
-    path = getattr(df, "_textlake_path", None)
-    if path:
-        spark = df.sparkSession
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    for df in tables:
+        path = getattr(df, "_textlake_path", None)
+        if path:
+            spark = df.sparkSession
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the files of shuffles whose results have been written.
+
+    Its cleaner acts on what the driver's collector has found to be garbage; with a large heap that is long after the
+    disks of the executors have filled up.
+    """
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
