@@ -229,7 +229,8 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialise(classes.join(found, ["k1", "k2"], "left").where("copies > 1 or near"), "line-gone")
     lost = keyed.select("doc_id", "row", "line_no", "k1", "k2").join(gone, ["k1", "k2"]).where(F.coalesce("near", F.lit(False)) | (at > F.col("at")))
     out = materialise(by_document(lost, F.col("line_no"), "lines"), "lines-removed")
-    discard(keyed, hits, sets, posted, near, gone)
+    for table in (keyed, hits, sets, posted, near, gone):
+        discard(table)
     return out
 
 
