@@ -97,7 +97,7 @@ def test_exact_query_against_sql(spark, sf):
 def test_native_plans(docs, monkeypatch):
     plans, write = [], line_dedup.materialise
     text = lambda df: df._jdf.queryExecution().executedPlan().toString()
-    monkeypatch.setattr(line_dedup, "materialise", lambda df, label: plans.append(text(df)) or write(df, label))
+    monkeypatch.setattr(line_dedup, "materialise", lambda df, label, **kw: plans.append(text(df)) or write(df, label, **kw))
     rows = docs((1, "one two three four five six\nx"), (2, "one two three four five six"))
     plans += [text(line_dedup.dedup_lines(rows)), text(exact_dedup.exact_dedup(docs((1, "a"))))]
     assert len(plans) > 9
