@@ -30,6 +30,23 @@ def test_encoder_is_the_library(name, space):
         assert np.frombuffer(got, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+# Letters, marks, digits, signs and white space of many scripts: every character below U+0250, and some of each further plane.
+PLANES = [chr(c) for c in range(1, 0x250)] + [chr(rnd.choice(range(a, b))) for a, b in ((0x250, 0x600), (0x600, 0x900), (0x900, 0x1200), (0x1E00, 0x2100), (0x2100, 0x3000), (0x3040, 0xA000), (0xAC00, 0xD7A0), (0xF900, 0xFFF0), (0x10000, 0x10400), (0x1D400, 0x1D800), (0x1F300, 0x1FA00), (0x20000, 0x2A000), (0xE0000, 0xE0080)) for _ in range(60)]
+LETTERS = [form for c in map(chr, range(1, 0x250)) for form in (c, f"{c}an wasa", f"wa{c}", f"a{c}a n{c} ", f"{c}{c}1{c}", f"A{c.upper()}'s")]
+
+
+@pytest.mark.parametrize("name,space", [("word_bpe_49k.json", "dropped"), ("byte_bpe_50k.json", "attached")])
+def test_ids_of_all_planes_are_those_of_the_library(name, space):
+    """Every letter below U+0250 in several places of a word, and random texts over all planes, in both encoders."""
+    tok, enc, coder = library(name), tokens.Encoder(vocabulary(name), space), bpe.Bpe(vocabulary(name))
+    far = random.Random(11)
+    texts = LETTERS + ["".join(far.choice(PLANES if far.random() < 0.5 else "abc DEé  \n") for _ in range(far.randint(1, 14))) for _ in range(50_000)]
+    want = [x.ids for x in tok.encode_batch(texts, add_special_tokens=False)]
+    for t, ids, got in zip(texts, want, enc.encode(texts)):
+        assert np.frombuffer(got, "<u4").tolist() == ids, repr(t)
+        assert np.frombuffer(coder.encode(t), "<u4").tolist() == ids, repr(t)
+
+
 def test_chunks_do_not_depend_on_the_rest():
     tok = library("byte_bpe_50k.json")
     for a, b in product(["a", "é'", "\n", "1\n", "<|endoftext|>", "'", " x", "\t"], [" b", " 's", " é", " 1", " <|endoftext|>", " ."]):

@@ -24,7 +24,10 @@ from textlake.llm.common import CACHES
 
 # What Python's str.split() takes for white space and the tokenizer does not.
 _CONTROL = re.compile("[\x1c-\x1f]")
-_NOT_LATIN = re.compile("[^\0-\u024f]")
+# Letters below U+0250 whose lower case is a letter beyond it.
+_FAR = "".join(c for c in map(chr, range(0x250)) if any(x > "\u024f" and x.isalpha() for x in c.lower()))
+#: What the patterns below cannot cut; a vocabulary of the first kind puts texts in lower case before they are cut.
+_NOT_LATIN = {"dropped": re.compile(f"[^\0-\u024f]|[{_FAR}]"), "attached": re.compile("[^\0-\u024f]")}
 _UNCLEAR = re.compile(r" \s|\s ")
 #: Bytes of a generation of the memos, by what is kept; a worker holds at most two generations of each.
 MB = 1 << 20
@@ -93,7 +96,7 @@ def load_tokenizer(path: str):
 
 def words(tok, space: str, text: str) -> list[str]:
     """The text's pre-tokens in byte letters. Latin text is cut here, all other by the tokenizer's own parts."""
-    if not _NOT_LATIN.search(text):
+    if not _NOT_LATIN[space].search(text):
         if space == "dropped":
             text = text.lower()
         found = _PATTERNS[space].findall(text)
@@ -150,7 +153,7 @@ class Encoder:
 
     def latin(self, text: str) -> bool:
         """Whether the whole text can be cut here: Latin letters, no control characters, no special tokens."""
-        if _NOT_LATIN.search(text) or self.special and self.special.search(text):
+        if _NOT_LATIN[self.space].search(text) or self.special and self.special.search(text):
             return False
         return text.replace("\n", " ").isprintable() or not _CONTROL.search(text)
 
