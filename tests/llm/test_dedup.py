@@ -14,7 +14,7 @@ def xxhash(text):
     return h - (1 << 64) if h >> 63 else h
 
 
-def plain_lines(rows):
+def plain_lines(rows, similarity=0.8):
     """Brute force: (index of row, line number) of removed lines, by the definition."""
     lines = []
     for k, (i, t) in enumerate(rows):
@@ -24,13 +24,13 @@ def plain_lines(rows):
                 lines.append(((-1 if i is None else i, xxhash(t), n), k, n, {tuple(words[j : j + 5]) for j in range(len(words) - 4)}))
     gone = set()
     for at, k, n, s in lines:
-        if any(o < at and len(s & t) >= 0.8 * len(s | t) - 1e-9 for o, _, _, t in lines):
+        if any(o < at and len(s & t) >= similarity * len(s | t) - 1e-9 for o, _, _, t in lines):
             gone.add((k, n))
     return gone
 
 
-def deduped(rows):
-    gone = plain_lines(rows)
+def deduped(rows, similarity=0.8):
+    gone = plain_lines(rows, similarity)
     return [None if t is None else "\n".join(line for n, line in enumerate(t.split("\n")) if (k, n) not in gone) for k, (_, t) in enumerate(rows)]
 
 
@@ -52,6 +52,20 @@ def test_lines_by_brute_force(docs, seed):
     assert got == {i: t for (i, _), t in zip(rows, deduped(rows))}
 
 
+@pytest.mark.parametrize("similarity", [0.5, 0.7, 0.9, 0.95, 0.99, 1.0])
+def test_lines_by_brute_force_at_any_similarity(docs, similarity):
+    """Long lines with a word more or less at an end, so that many pairs are just at the threshold."""
+    rnd = random.Random(int(100 * similarity))
+    rows, fresh = [], iter(range(10**6))
+    for i in range(0, 60, 2):
+        n = rnd.choice((20, 33, 50, 99, 100, 101, 150, 400))
+        line = [f"w{next(fresh)}" for _ in range(n + 4)]
+        less = max(0, round(n * (1 - similarity)) + rnd.choice((-1, 0, 0, 1)))
+        rows += [(i, " ".join(line)), (i + 1, " ".join(line[: len(line) - less] if i % 4 else line + [f"w{next(fresh)}" for _ in range(less)]))]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(*rows), similarity=similarity).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, deduped(rows, similarity))}
+
+
 def test_lines_by_exchange_of_keys(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 0)
     rows = [(1, "one two three four five six seven\nx"), (2, "One two  three four five six seven\nz"), (3, " ".join(map(str, range(60)))), (4, " ".join(map(str, range(59))))]

@@ -5,9 +5,10 @@ left alone. A line is removed if an earlier line, by (doc_id, line number), has
 that line itself removed or not. So the result does not depend on any order of work.
 
 1. Equal word sequences are one class, whose first line stands for it; later members are removed.
-2. A line of n tokens has at least a = ceil(0.8 n) of them in common with a match. So whatever the order of tokens, both
-   lines of a match share `l` tokens among the first n - a + l of each. By the order of hashes this is a cheap screen: only
-   lines that have `l` shared tokens there (l grows with n) can have a match. In a usual corpus few are left.
+2. A line of n tokens has at least a = ceil(0.8 n) of them in common with a match, and a match has at least a tokens. So
+   whatever the order of tokens, both lines of a match share `l` tokens among the first n - a + l of each, where l is that
+   of the shorter line. By the order of hashes this is a cheap screen: only lines that share as many tokens there as the
+   shortest possible match promises (l grows with n) can have a match. In a usual corpus few are left.
 3. Rarity: among the lines left, the frequency of every token is counted exactly. A token of one line only is the rarest
    and cannot be shared, so a line with fewer than a shared tokens has no match; the others order theirs from rare to
    common, ties by hash.
@@ -206,9 +207,9 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, row and lines, the numbers of the lines that have an earlier match, of every document with any."""
     t = similarity
     n = F.size("tokens")
-    beyond = (F.lit(1) + F.floor(F.lit(SCREEN) * n)).cast("int")
+    beyond = lambda size: (F.lit(1) + F.floor(F.lit(SCREEN) * size)).cast("int")
     lines = lines_of(df, id_col, text_col, words)
-    lines = lines.select("doc_id", "row", "line_no", "k1", "k2", F.least(beyond, n).alias("need"), F.slice("tokens", F.lit(1), F.least(n, n - least_common(n, t) + beyond)).alias("prefix"))
+    lines = lines.select("doc_id", "row", "line_no", "k1", "k2", beyond(least_common(n, t)).alias("need"), F.slice("tokens", F.lit(1), F.least(n, n - least_common(n, t) + beyond(n))).alias("prefix"))
     keyed = materialise(lines, "line-keys", hashes=True)
 
     # The screen, by the order of hashes.
