@@ -4,7 +4,7 @@ def sql_rows(sf, sql):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "labels", "conversations"):
         con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     return con.sql(sql).df()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textlake.llm import ann, bpe, exact_dedup, langid, line_dedup, packing, secret_scan, simhash, token_counts, token_files
+from textlake.llm import ann, bpe, conversation_repair, exact_dedup, filter_audit, langid, licences, line_dedup, packing, secret_scan, simhash, token_counts, token_files
 from textlake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,8 +64,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_docs(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
 
+def op11_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licence_digest(licences.scan_licences(_docs(spark, sf_dir)))
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_line_dedup, op3_packing, op4_secrets, op5_bpe, op6_exact_dedup, op7_nearest, op8_language, op9_token_files, op10_token_counts)}
+    numbered = (
+        op1_simhash, op2_line_dedup, op3_packing, op4_secrets, op5_bpe, op6_exact_dedup, op7_nearest, op8_language, op9_token_files, op10_token_counts,
+        op11_licences, op12_conversations, op13_filter_audit,
+    )
+    return {f.__name__: f for f in numbered}
 
 
 LINE_DEDUP_SQL = r"""
@@ -105,5 +121,42 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+FILTER_AUDIT_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first FROM d GROUP BY t),
+labelled AS (SELECT doc_id, max((coalesce(quality, 0) = 1)::INT) AS good, max((coalesce(toxic, 0) = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic,
+         (len(w) < 100)::INT AS a, (100 * len(list_distinct(w)) < 80 * len(w))::INT AS b,
+         (100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 10 * length(d.t))::INT AS c,
+         regexp_matches(d.t, '[#$%&*|]')::INT AS x, coalesce(d.doc_id > firsts.first, false)::INT AS e
+  FROM d JOIN firsts ON d.t = firsts.t LEFT JOIN labelled l ON d.doc_id = l.doc_id),
+cells AS (SELECT part, a, b, c, x, e, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, a, b, c, x, e),
+letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order
+  FROM letters p JOIN letters q ON q.f <> p.f JOIN letters r ON r.f NOT IN (p.f, q.f)
+  JOIN letters s ON s.f NOT IN (p.f, q.f, r.f) JOIN letters t ON t.f NOT IN (p.f, q.f, r.f, s.f)),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM orders),
+fails AS (
+  SELECT c.*, o.filter_order, o.step, o.filter_order[o.step] AS f,
+         list_sum(list_transform(range(1, o.step), lambda i: CASE o.filter_order[i] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c.c WHEN 'D' THEN x ELSE e END)) AS before,
+         CASE o.filter_order[o.step] WHEN 'A' THEN a WHEN 'B' THEN b WHEN 'C' THEN c.c WHEN 'D' THEN x ELSE e END AS now
+  FROM cells c CROSS JOIN steps o),
+counted AS (
+  SELECT part, filter_order, step, f,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND now = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND now = 1 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN coalesce(before, 0) > 0 AND now = 1 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN now = 1 AND a + b + c + x + e = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND now = 1 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN coalesce(before, 0) = 0 AND now = 1 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM fails GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, step::INT AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM counted
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": LINE_DEDUP_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL}
+    return {"op2_line_dedup": LINE_DEDUP_SQL, "op6_exact_dedup": EXACT_DEDUP_SQL, "op13_filter_audit": FILTER_AUDIT_SQL}
