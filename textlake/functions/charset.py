@@ -8,10 +8,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
+from textlake.functions.charset_guess import hypotheses
 
 @dataclass(frozen=True)
 class Encoding:
@@ -173,30 +175,8 @@ def encode_text(text: Column, name: Column | str) -> Column:
 # Detection
 
 
-def _cyrillic(data: bytes, codec: str) -> float:
-    """How much the letters look like Cyrillic prose: lower case, frequent letters, few signs between them."""
-    text = data.decode(codec, "replace")
-    high = [c for c, b in zip(text, data) if b >= 0x80]
-    if not high:
-        return 0.0
-    score = 0.0
-    for c in high:
-        if "а" <= c <= "я":
-            score += 1.0 + 0.5 * (c in "оеаинтсрвл")
-        elif "А" <= c <= "Я":
-            score += 0.6
-        elif c in "ёЁіїєґІЇЄҐ":
-            score += 0.5
-        else:
-            score -= 1.0
-    return score / (1.5 * len(high))
-
-
 def guess(data: bytes) -> tuple[str, int]:
-    """(charset, confidence 0 to 100) without looking at a mark: ASCII, UTF-8, a Cyrillic charset or windows-1252.
-
-    Equal scores go to the first in this order, so short Cyrillic texts are windows-1251.
-    """
+    """(charset, confidence 0 to 100) without looking at a mark: ASCII, UTF-8, or the likeliest single-byte charset."""
     if data.isascii():
         return "ascii", 100
     try:
@@ -205,12 +185,7 @@ def guess(data: bytes) -> tuple[str, int]:
     except UnicodeDecodeError as e:
         if e.end >= len(data) and e.start >= len(data) - 3 and e.start > 0 and not data[: e.start].isascii():
             return "utf-8", 90  # a sample cut within a character
-    scores = [(_cyrillic(data, codec), name) for name, codec in (("windows-1251", "cp1251"), ("koi8-r", "koi8-r"), ("ibm866", "cp866"), ("iso-8859-5", "iso8859-5"))]
-    best, name = max(scores, key=lambda x: x[0])
-    high = sum(b >= 0x80 for b in data)
-    if best >= 0.45 and high >= 0.3 * sum(chr(b).isalpha() or b >= 0x80 for b in data):
-        return name, min(99, int(100 * best))
-    return "windows-1252", 60 if high < len(data) / 3 else 40
+    return hypotheses().guess(data)
 
 
 def detect_bytes(data: bytes, mode: str = "full") -> tuple[str, int, bool]:
@@ -245,32 +220,85 @@ def detect_bytes(data: bytes, mode: str = "full") -> tuple[str, int, bool]:
     return (*guess(data[:CHUNK] + (data[middle : middle + CHUNK] if len(data) > 2 * CHUNK else b"") + data[-CHUNK:]), False)
 
 
-def detect(content: Column, mode: str = "full") -> Column:
-    """struct<charset, confidence, has_bom>. Marks, ASCII and UTF-8 are told by built-in expressions; only the rest of
-    the rows carries bytes to Python."""
+def _check_mode(mode: str) -> None:
     if mode not in ("full", "sample", "chunked"):
         raise ValueError(f"invalid mode: {mode}")
 
-    @F.pandas_udf(DETECTED)
-    def other(data: pd.Series) -> pd.DataFrame:
-        rows = [(None, None, None) if d is None else detect_bytes(bytes(d), mode) for d in data]
-        return pd.DataFrame(rows, columns=["charset", "confidence", "has_bom"])
 
+def _settled(content: Column, mode: str) -> Column:
+    """struct<charset, confidence, has_bom> of what built-in functions can tell: marks, empty files, ASCII and UTF-8; else null."""
     row = lambda name, confidence, bom: F.struct(F.lit(name).alias("charset") if isinstance(name, str) else name.alias("charset"), F.lit(confidence).alias("confidence"), F.lit(bom).alias("has_bom"))
     seen = F.when(F.octet_length(content) > CHUNK, F.substring(content, 1, CHUNK)).otherwise(content) if mode == "sample" else content
     marked, text = bom_type(content), seen.cast("string")
     valid = F.is_valid_utf8(text)
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    easy = marked.isNotNull() | valid
     return (
         F.when(marked.isNotNull(), row(marked, 100, True))
         .when(F.octet_length(content) == 0, row("utf-8", 100, False))
-        .when(valid & ascii_only, row("ascii", 100, False))
+        .when(F.octet_length(text) == F.char_length(text), F.when(valid, row("ascii", 100, False)))
         .when(valid, row("utf-8", 99, False))
-        .otherwise(other(F.when(~easy, content)))
     )
 
 
+def detect(content: Column, mode: str = "full") -> Column:
+    """struct<charset, confidence, has_bom>. Marks, ASCII and UTF-8 are told by built-in expressions; only the rest of
+    the rows carries bytes to Python."""
+    _check_mode(mode)
+
+    @F.pandas_udf(DETECTED)
+    def other(data: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if d is None else detect_bytes(bytes(d), mode) for d in data]
+        return pd.DataFrame(rows, columns=["charset", "confidence", "has_bom"])
+
+    easy = _settled(content, mode)
+    return F.coalesce(easy, other(F.when(easy.isNull(), content)))
+
+
+def with_text(files: DataFrame, policy: str, explicit: str | None = None, default: str = "windows-1251", threshold: int = 64 << 20) -> DataFrame:
+    """files (with a column content) plus e, what resolve() gives for the policy, and text, decoded by it.
+
+    Rows whose charset is known beforehand, or told by built-in functions and UTF-8, never leave the JVM. All others go
+    through one Arrow operator that detects and decodes in one go; it is planned once, however often its result is used.
+    """
+    content = F.col("content")
+    if explicit is not None:
+        name = lookup(explicit)
+        e = resolve(content, policy, explicit)
+        return files.select("*", e.alias("e"), decode_text(content, name.name if name else "utf-8").alias("text"))
+
+    def mode(size: int) -> str:
+        return "full" if policy == "edit" or (policy == "read" and size <= threshold) else "sample"
+
+    found_type = pa.struct([("charset", pa.string()), ("confidence", pa.int32()), ("has_bom", pa.bool_())])
+    kind = pa.struct([("found", found_type), ("text", pa.string())])
+
+    # Not deterministic by declaration, so that the optimiser does not copy it to every place that refers to it.
+    @F.arrow_udf(f"struct<found:{DETECTED},text:string>")
+    def detected(data: pa.Array) -> pa.Array:
+        if data.null_count == len(data):
+            return pa.nulls(len(data), kind)
+        out = []
+        for d in data.to_pylist():
+            if d is None:
+                out.append(None)
+                continue
+            name, confidence, mark = detect_bytes(d, mode(len(d)))
+            e = lookup(name)
+            text = d.decode(e.codec, "replace") if e and e.name != "utf-8" else None
+            out.append({"found": {"charset": name, "confidence": confidence, "has_bom": mark}, "text": text})
+        return pa.array(out, kind)
+
+    easy = _settled(content, "full" if policy == "edit" else "sample")
+    if policy == "read":
+        easy = F.when(F.octet_length(content) <= threshold, _settled(content, "full")).otherwise(easy)
+    # What is easy is a column of its own below the operator, so that filters on the text do not work it out again.
+    rows = files.select("*", easy.alias("__s"))
+    wide = F.coalesce(F.col("__s.charset").isin(*BUILT_IN), F.lit(False))
+    rows = rows.select("*", detected.asNondeterministic()(F.when(F.col("__s").isNull() | wide, content)).alias("__d"))
+    e = _resolved(F.coalesce("__s", "__d.found"), policy, default)
+    utf8 = F.col("__s.charset").isin("ascii", "utf-8") | F.coalesce(e["name"] == "utf-8", F.lit(True))
+    return rows.select(*files.columns, e.alias("e"), F.when(utf8, content.cast("string")).otherwise(F.col("__d.text")).alias("text"))
+
+
 def vote(chunks: DataFrame) -> DataFrame:
     """From (path, charset, confidence, weight) per chunk to one row per path: the charset with most weight, ties by
     name, and the weighted mean of its confidences, rounded down."""
@@ -296,33 +324,42 @@ def resolve(content: Column, policy: str, explicit: str | None = None, default:
     * tree: a sample; weak results have no label;
     * detect: as found.
     """
-    out = lambda name, label, confidence, error=None: F.struct(name.alias("name"), label.alias("label"), confidence.cast("int").alias("confidence"), F.lit(error).cast("string").alias("error") if not isinstance(error, Column) else error.alias("error"))
-    none, utf8 = F.lit(None).cast("string"), F.lit("utf-8")
+    none = F.lit(None).cast("string")
     if explicit is not None:
         e = lookup(explicit)
         if e is None and policy != "grep":
             raise ValueError(f"unsupported encoding: {explicit}")
-        return out(F.lit(e.name if e else "utf-8"), none if policy != "grep" else F.lit(explicit.lower() if e else "utf-8"), F.lit(None))
+        return _use(F.lit(e.name if e else "utf-8"), none if policy != "grep" else F.lit(explicit.lower() if e else "utf-8"), F.lit(None))
     if policy == "read":
         found = F.when(F.octet_length(content) <= threshold, detect(content, "full")).otherwise(detect(content, "sample"))
     else:
         found = detect(content, "full" if policy == "edit" else "sample")
+    return _resolved(found, policy, default)
+
+
+def _use(name: Column, label: Column, confidence: Column, error: Column | None = None) -> Column:
+    return F.struct(name.alias("name"), label.alias("label"), confidence.cast("int").alias("confidence"), (F.lit(None).cast("string") if error is None else error).alias("error"))
+
+
+def _resolved(found: Column, policy: str, default: str) -> Column:
+    """What a policy makes of a detection."""
+    none, utf8 = F.lit(None).cast("string"), F.lit("utf-8")
     name, confidence = found["charset"], found["confidence"]
     known = canonical(name)
     trusted = confidence >= MINIMUM
     if policy == "read":
         label = F.when(~trusted, F.concat(name, F.lit(" (low confidence, using utf-8)"))).when(known.isNull(), F.concat(name, F.lit(" (unsupported, using utf-8)"))).otherwise(name)
-        return out(F.when(trusted & known.isNotNull(), known).otherwise(utf8), label, confidence)
+        return _use(F.when(trusted & known.isNotNull(), known).otherwise(utf8), label, confidence)
     if policy == "edit":
-        return out(F.when(trusted & known.isNotNull(), known).otherwise(utf8), none, confidence)
+        return _use(F.when(trusted & known.isNotNull(), known).otherwise(utf8), none, confidence)
     if policy == "write":
-        return out(F.when(trusted & known.isNotNull(), known).otherwise(F.lit(require(default).name)), none, confidence)
+        return _use(F.when(trusted & known.isNotNull(), known).otherwise(F.lit(require(default).name)), none, confidence)
     if policy == "grep":
-        return out(F.coalesce(known, utf8), F.when(known.isNotNull(), name).otherwise(utf8), confidence)
+        return _use(F.coalesce(known, utf8), F.when(known.isNotNull(), name).otherwise(utf8), confidence)
     if policy == "convert":
-        return out(known, name, confidence, F.when(known.isNull(), F.concat(F.lit("unsupported encoding: "), F.coalesce(name, F.lit("unknown")))))
+        return _use(known, name, confidence, F.when(known.isNull(), F.concat(F.lit("unsupported encoding: "), F.coalesce(name, F.lit("unknown")))))
     if policy == "tree":
-        return out(known, F.when(trusted, name), confidence)
+        return _use(known, F.when(trusted, name), confidence)
     if policy == "detect":
-        return out(known, name, confidence)
+        return _use(known, name, confidence)
     raise ValueError(f"unknown policy: {policy}")

@@ -27,9 +27,8 @@ def chunk_votes(files: DataFrame) -> DataFrame:
 def convert_encoding(files: DataFrame, to: str, source: str | None = None) -> DataFrame:
     """path, source, target, new_content, error, error_code."""
     target = charset.require(to)
-    rows = files.withColumn("e", charset.resolve(F.col("content"), "convert", explicit=source))
-    rows = rows.withColumn("t", charset.decode_text(F.col("content"), source or F.col("e.name")))
-    rows = rows.withColumn("b", charset.encode_text(F.when(F.col("e.error").isNull(), F.col("t")), target.name))
+    rows = charset.with_text(files.select("path", "content"), "convert", source)
+    rows = rows.withColumn("b", charset.encode_text(F.when(F.col("e.error").isNull(), F.col("text")), target.name))
     error = F.coalesce("e.error", "b.error")
     name = F.lit(source.lower()) if source else F.col("e.name")
     return rows.select("path", name.alias("source"), F.lit(target.name).alias("target"), F.when(error.isNull(), F.col("b.content")).alias("new_content"), error.alias("error"), F.when(error.isNotNull(), "ENCODING").alias("error_code"))

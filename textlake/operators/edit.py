@@ -95,8 +95,8 @@ def edit_files(files: DataFrame, edits: list[tuple[str, str]], encoding: str | N
     Line ends are put back as they were; files with mixed ones get LF. new_content is what a sink would write.
     """
     check_edits(edits)
-    rows = files.withColumn("e", charset.resolve(F.col("content"), "edit", explicit=encoding))
-    rows = rows.withColumn("raw", charset.decode_text(F.col("content"), encoding or F.col("e.name"))).withColumn("style", text.line_ending_style(F.col("raw")))
+    kept = ["path", "content", *(["mode"] if "mode" in files.columns else [])]
+    rows = charset.with_text(files.select(*kept), "edit", encoding).withColumnRenamed("text", "raw").withColumn("style", text.line_ending_style(F.col("raw")))
     rows = rows.withColumn("old", text.to_lf(F.col("raw"))).withColumn("exact", apply_exact(F.col("old"), edits))
 
     @F.pandas_udf("struct<new:string,error:string>")

@@ -65,13 +65,7 @@ def decoded(files: DataFrame, spec: GrepSpec) -> DataFrame:
     else:
         readable = readable & ~is_binary(F.col("content"))
     rows = files.where(readable)
-    known = charset.lookup(spec.encoding) if spec.encoding else None
-    if spec.encoding:
-        name = F.lit(spec.encoding.lower() if known else "utf-8")
-        rows = rows.select("path", charset.decode_text(F.col("content"), known.name if known else "utf-8").alias("text"), name.alias("encoding"))
-    else:
-        rows = rows.withColumn("e", charset.resolve(F.col("content"), "grep"))
-        rows = rows.select("path", charset.decode_text(F.col("content"), F.col("e.name")).alias("text"), F.col("e.label").alias("encoding"))
+    rows = charset.with_text(rows, "grep", spec.encoding).select("path", "text", F.col("e.label").alias("encoding"))
     rows = rows.where("text <> ''")
     if spec.case_sensitive and (literal := regex.required_literal(spec.pattern)):
         rows = rows.where(F.contains("text", F.lit(literal)))

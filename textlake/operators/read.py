@@ -14,9 +14,8 @@ def read_text(files: DataFrame, encoding: str | None = None, offset: int | None
     Lines are sliced first, then characters capped; totals are of the whole file. An offset behind the end gives an
     empty content with start total + 1 and end total. With an explicit encoding the detection columns are null.
     """
-    rows = files.where("content is not null").withColumn("e", charset.resolve(F.col("content"), "read", explicit=encoding))
-    whole = charset.decode_text(F.col("content"), encoding if encoding else F.col("e.name"))
-    rows = rows.select("path", whole.alias("text"), F.octet_length("content").cast("long").alias("file_size_bytes"), F.col("e.label").alias("detected_encoding"), F.col("e.confidence").alias("confidence"))
+    rows = charset.with_text(files.where("content is not null").select("path", "content"), "read", encoding)
+    rows = rows.select("path", "text", F.octet_length("content").cast("long").alias("file_size_bytes"), F.col("e.label").alias("detected_encoding"), F.col("e.confidence").alias("confidence"))
     rows = rows.withColumn("total_lines", text.total_lines(F.col("text")))
     skip = offset - 1 if offset and offset > 1 else 0
     total = F.col("total_lines")
