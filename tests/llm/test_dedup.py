@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 
 import pytest
@@ -101,6 +102,23 @@ def test_exact(docs, fan_in, keep):
     assert exact_dedup.exact_dedup(docs()).count() == 0
 
 
+def test_rows_without_an_id(docs):
+    rows = [(None, "a"), (None, "a"), (3, "b"), (None, "b"), (-(2**63), "c"), (1, "c"), (None, "d")]
+    for keep in ("max", "min"):
+        got = sorted(((r.text_sha256, r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(docs(*rows), keep=keep).collect()), key=str)
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        c = 1 if keep == "max" else -(2**63)
+        want = [(sha("a"), None, None, 2, True)] * 2 + [(sha("b"), 3, 3, 2, True), (sha("b"), None, 3, 2, False), (sha("c"), 1, c, 2, c == 1), (sha("c"), -(2**63), c, 2, c != 1), (sha("d"), None, None, 1, True)]
+        assert got == sorted(want, key=str)
+
+
+def test_long_runs_are_cut_into_ranges(docs, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "RANGE_ROWS", 8)
+    rows = [(i, f"text {i % 211}") for i in range(1500)]
+    got = exact_dedup.exact_dedup(docs(*rows, partitions=6)).collect()
+    assert {(r.doc_id, r.keep_id, r.group_size) for r in got} == {(i, max(range(i % 211, 1500, 211)), len(range(i % 211, 1500, 211))) for i in range(1500)}
+
+
 def test_exact_query_against_sql(spark, sf):
     got = queries.op6_exact_dedup(spark, sf).toPandas()
     want = sql_rows(sf, queries.EXACT_DEDUP_SQL)
@@ -121,11 +139,12 @@ def test_native_plans(docs, monkeypatch):
 
 @pytest.mark.parametrize("fan_in", [2, 3, 16])
 def test_runs_of_each_level(spark, fan_in):
-    """Runs are merged level by level by sorting; what is left is the merge of all."""
+    """Runs are merged level by level, none is sorted anew behind an exchange; what is left is the merge of all."""
     rows = [(run, bytes([d]), 1, 7, 100 * run + d) for run in range(7) for d in range(run, 9) for _ in range(2)]
     runs = spark.createDataFrame(rows, "run int, digest binary, n_bytes int, check long, doc_id long")
     merged = exact_dedup.merge_runs(runs, 7, fan_in)
-    assert "SortAggregate" in merged._jdf.queryExecution().executedPlan().toString()
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 + math.ceil(math.log(7) / math.log(fan_in) - 1e-9) and "Sort " not in plan and "SortAggregate" not in plan
     got = {bytes(r.digest)[0]: (r.keep_id, r.group_size) for r in merged.collect()}
     assert got == {d: (100 * min(6, d) + d, 2 * min(7, d + 1)) for d in range(9)}
 

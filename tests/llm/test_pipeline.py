@@ -55,6 +55,18 @@ def test_empty_tables_and_repeated_rows(spark, sf):
     assert counts and all(r["count"] == 2 for r in counts)
 
 
+def test_rows_without_an_id_and_clashing_columns(spark, sf):
+    """Rows without an id stay, whatever they are copies of; columns beyond those of documents are left out, whatever their names."""
+    text = "A clean document about the weather of the day, which is long enough to be told from others by its words. " * 3
+    rows = [(1, text, "en", "s", len(text), 1, 2), (None, text, "en", "s", len(text), 3, 4), (None, text, "en", "s", len(text), 5, 6), (2, text, "en", "s", len(text), 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, component_id long, lines_removed long")
+    near = cp.simhash_dedup(spark, docs, sf)
+    assert sorted((r.doc_id is not None, r.doc_id) for r in near.collect()) == [(False, None), (False, None), (True, 1)]
+    for _, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == list(cp.COLUMNS)
+
+
 def test_workers_hold_one_operators_caches():
     from textlake.llm import bpe, common, tokens
 

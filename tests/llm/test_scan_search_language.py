@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cases import EDGES
-from textlake.llm import ann, langid, secret_scan
+from textlake.llm import ann, langid, queries, secret_scan
 
 
 def plain_base(text):
@@ -137,6 +137,63 @@ def test_language(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in out.collect())
 
 
+def test_language_query_by_brute_force(spark, sf):
+    """Profiles as dictionaries of trigrams and plain sums of their vectors, for all documents."""
+    import re
+    import zlib
+    from collections import Counter
+
+    def profile(text):
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        spaced = re.sub(" +", " ", f" {letters} ")
+        return Counter(spaced[k : k + 3] for k in range(len(spaced) - 2))
+
+    made = {}
+
+    def vector(gram):
+        if gram not in made:
+            a, b, c = (np.random.default_rng([20_011, ord(x)]).integers(0, 2, langid.DIM, dtype=np.int8) * 2.0 - 1 for x in gram)
+            made[gram] = np.roll(a, 2) * np.roll(b, 1) * c
+        return made[gram]
+
+    def total(grams):
+        return sum((n * vector(g) for g, n in grams.items()), np.zeros(langid.DIM))
+
+    docs = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    sums = {i: total(profile(t)) for i, t, _ in docs}
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, *_ in docs}
+    prototypes = {}
+    for i, _, lang in docs:
+        if not held[i] and lang is not None:
+            prototypes[lang] = prototypes.get(lang, 0) + sums[i]
+    got = {r.doc_id: r for r in queries.op8_language(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, t, _ in docs:
+        cosines = {x: sums[i] @ p / np.linalg.norm(p) / (np.linalg.norm(sums[i]) or 1) for x, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        assert got[i].held_out == held[i] and got[i].score == pytest.approx(max(0, cosines[best]), abs=1e-4)
+        assert got[i].lang_pred == best or abs(cosines[got[i].lang_pred] - cosines[best]) < 1e-4
+
+
+def test_only_queries_travel(spark, monkeypatch):
+    """Each vector goes to one block; each query to all of them."""
+    rng = np.random.default_rng(8)
+    seen, repartition = [], type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, *a: (seen.append(self.count()) if "block" in a else None) or repartition(self, *a))
+    assert ann.nearest(vectors(spark, rng.normal(size=(2_000, 8))), block=500).count() == 100 * 20
+    assert seen == [2_000 + 100 * 4]
+
+
+def test_bytes_that_are_no_utf8(spark):
+    df = spark.sql("select 1L as doc_id, cast(x'50617373776f72643a20ff61' as string) as text union all select 2L, 'plain'")
+    from textlake.llm import bpe, packing, simhash, token_counts
+
+    word, piece = queries.vocabulary("word_bpe_49k.json"), queries.vocabulary("piece_bpe_32k.model")
+    runs = (secret_scan.scan_secrets, simhash.simhash_groups, langid.predict_documents, lambda d: bpe.encode_documents(d, word), lambda d: packing.pack_documents(d, word), lambda d: token_counts.count_tokens(d, piece))
+    for run in runs:
+        assert run(df.withColumn("lang", F.lit("en"))).count() == 2
+
+
 def test_vectors_by_definition():
     g = langid.Grams(64)
     codes, counts = np.unique(langid.trigrams("Ab ,c"), return_counts=True)

@@ -170,6 +170,23 @@ def test_ties():
                 assert counter.count("".join(t)) == len(tok.encode("".join(t)).ids), t
 
 
+def test_counts_of_a_long_word_take_little_memory():
+    import tracemalloc
+
+    counter = token_counts.Counter(token_counts.sentencepiece_vocabulary(vocabulary("piece_bpe_32k.model"))[0])
+    word = "abcdefghij" * 30_000
+    counter.count(word[:1000])
+    tracemalloc.start()
+    counter.count(word)
+    assert tracemalloc.get_traced_memory()[1] < 10 * len(word)  # the automaton has a copy of the word
+    tracemalloc.stop()
+
+
+def test_token_files_are_read_in_pieces(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_files, "MOST_TOKENS", 64)
+    test_token_files(spark, docs, tmp_path)
+
+
 def test_count_query(docs):
     entries, unknown = token_counts.sentencepiece_vocabulary(vocabulary("piece_bpe_32k.model"))
     tok = unigram(entries, unknown, True)

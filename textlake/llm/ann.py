@@ -7,8 +7,9 @@ over its own pivots of the difference in places (a pivot that is missing has the
 up from its pivots' files; the best are reranked by the exact inner product in double precision.
 
 How many are reranked grows with the root of the number of vectors (`effort` times it, dealt over the blocks), and all
-are where there are fewer. Queries and vectors meet in blocks, pair by pair, so that no task holds more than a block of
-each. Recall is measured against brute force in the tests.
+are where there are fewer. Vectors are dealt to blocks and go there once; only queries go to every block, behind its vectors,
+as a stream, so that a task holds a block of vectors and a batch of queries. Recall is measured against brute force in
+the tests.
 
 Defined cases: vectors that are null, empty, all zero, hold null or non-finite components, or differ in length from the
 most common length take no part, nor does a null id; ties go to the smaller id; a row's own id is never its neighbour
@@ -23,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,7 +98,6 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, pref
     points = np.unique(np.array([r["v"] for r in sample]), axis=0)
     points /= np.linalg.norm(points, axis=1, keepdims=True)
     n_blocks = max(1, math.ceil(n / block))
-    q_blocks = max(1, math.ceil(n / every / 2_048))
     share = min(1.0, effort * math.sqrt(n) / n)
 
     def index(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,23 +111,42 @@ def nearest(df: DataFrame, every: int = 20, k: int = 20, pivots: int = 512, pref
     # The index: every row, in the shared folder.
     indexed = rows.mapInArrow(index, "vec_id long, v binary, perm binary").withColumn("query_row", F.monotonically_increasing_id())
     table = materialise(indexed, "permutation-index")
-    deal = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
-    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    vectors = table.drop("query_row").withColumn("vb", deal(n_blocks)).withColumn("qb", all_of(q_blocks))
-    queries = table.where(F.col("vec_id") % every == 0).withColumn("qb", deal(q_blocks)).withColumn("vb", all_of(n_blocks))
+    deal = F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_blocks)).cast("int")
+    # Vectors go to their block, once; only queries go to every block, and pass it as a stream behind its vectors.
+    vectors = table.select(deal.alias("block"), F.lit(False).alias("asks"), "vec_id", "v", "perm", F.lit(None).cast("long").alias("query_row"))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
+    queries = table.where(F.col("vec_id") % every == 0).select(blocks.alias("block"), F.lit(True).alias("asks"), "vec_id", "v", "perm", "query_row")
     n_pivots = len(points)
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            load = lambda col, kind: np.frombuffer(b"".join(col), dtype=kind).reshape(len(col), -1)
-            b = Block(right.vec_id.to_numpy(), load(right.v, np.float64), load(right.perm, np.int16), n_pivots)
-            for row, qid, q, perm in zip(left.query_row.to_numpy(), left.vec_id.to_numpy(), load(left.v, np.float64), load(left.perm, np.int16)):
-                ids, scores = b.search(qid, q, perm, k, share)
-                out.append(pd.DataFrame({"query_row": row, "query_id": qid, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []})
-
-    found = queries.groupBy("vb", "qb").cogroup(vectors.groupBy("vb", "qb")).applyInPandas(search, "query_row long, query_id long, vec_id long, score double")
+    def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lambda col, kind: np.frombuffer(b"".join(col.to_pylist()), dtype=kind).reshape(len(col), -1)
+        now, held, built = None, [], None
+        for part in parts:
+            number, asks = part["block"].to_numpy(), part["asks"].to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(number) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), part.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                rows = part.slice(a, b - a)
+                if number[a] != now:
+                    now, held, built = number[a], [], None
+                ids, v, perm = rows["vec_id"].to_numpy(), load(rows["v"], np.float64), load(rows["perm"], np.int16)
+                if not asks[a]:
+                    held.append((ids, v, perm))
+                    continue
+                if built is None and held:
+                    built = Block(*(np.concatenate(x) for x in zip(*held)), n_pivots)
+                    held = []
+                if built is None:
+                    continue
+                found = [built.search(i, q, p, k, share) for i, q, p in zip(ids, v, perm)]
+                counts = [len(x) for x, _ in found]
+                again = lambda x: pa.array(np.repeat(x, counts))
+                columns = [again(rows["query_row"].to_numpy()), again(ids), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([x for _, x in found]))]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_row", "query_id", "vec_id", "score"])
+
+    dealt = vectors.unionByName(queries).repartition("block").sortWithinPartitions("block", "asks")
+    found = dealt.mapInArrow(search, "query_row long, query_id long, vec_id long, score double")
     # At most k rows per query and block meet here.
     best = found.groupBy("query_row", "query_id").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best"))
     ranked = best.select("query_id", F.posexplode("best").alias("i", "x"))

@@ -52,6 +52,14 @@ def keep_only(own: dict | None) -> None:
         trim()
 
 
+def texts_of(column: pa.Array) -> list:
+    """The texts as Python has them. Spark keeps bytes that are no UTF-8 in strings; they become U+FFFD here, for all operators."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int = 4_000_000, own: dict | None = None) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with their texts, of about `most` bytes each: what a task holds does not depend on how long
     the texts of a batch are. own: the operator's cache, the only one that stays."""
@@ -64,5 +72,5 @@ def text_slices(parts: Iterator[pa.RecordBatch], column: str = "text", most: int
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), part.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             piece = part.slice(a, b - a)
-            yield piece, piece[column].to_pylist()
+            yield piece, texts_of(piece[column])
     trim()

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from textlake.llm.common import documents, text_slices, trim
 from textlake.llm.components import connected_components
 from textlake.llm.simhash import SEED, near_links
-from textlake.session import discard, materialise, release, ship_package
+from textlake.session import discard, materialise, ship_package
 
 BUCKETS = 65_536
 
@@ -225,27 +225,22 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def near_copies(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the smallest doc_id that is reachable over pairs of near copies."""
-    spark = df.sparkSession
-    release(spark)  # what earlier stages have left
+    """doc_id and component_id, the smallest doc_id that is reachable over pairs of near copies; a row without an id counts in its
+    group, whose component_id it gets, and is the component itself (null) if none of the group has an id."""
     sets = materialise(shingle_sets(df, words, id_col, text_col), "shingle-sets")
     counts = bucket_counts(sets)
     shared = materialise(shared_prefixes(sets, counts, least), "shared-shingles")
-    release(spark)
 
     nodes = sets.where("n > 0").select("fp", "node").distinct()
     reps = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
     same = nodes.join(reps, "fp").where("node <> rep").select(F.col("rep").alias("a"), F.col("node").alias("b"))
     hashed = same.union(near_links(reps)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialise(hashed.union(proposals(shared, least)).distinct(), "proposals")
-    release(spark)
     links = materialise(verified(first, sets, least), "links")
-    release(spark)
 
     found = connected_components(links)
     placed = shared.join(found, "node", "left").select("token", "n", "node", "at", F.coalesce("component", "node").alias("component"))
     rest = materialise(proposals(placed, least).join(first, ["a", "b"], "left_anti"), "proposals")
-    release(spark)
     found = connected_components(links.union(verified(rest, sets, least)))
 
     owned = sets.select("doc_id", "node").join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component"))

@@ -49,40 +49,44 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in vocabulary) - 10.0
         pieces = {p for p, _ in vocabulary}
+        self.longest = max(map(len, pieces))
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in pieces for b in range(256))
         self.words = Memo(lambda w: self.viterbi(MARK + w), WORDS)
 
     def viterbi(self, word: str) -> int:
         """The number of pieces on the best path."""
-        n = len(word)
-        ends: list[list] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(word):
-            ends[end].append(match)
-        score, pieces, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        floor, in_bytes = self.unknown, self.bytes
-        for i in range(1, n + 1):
+        # Rings as long as the longest piece: what lies further back is not asked for again.
+        ring = self.longest + 1
+        score, pieces, unknown = [0.0] * ring, [0] * ring, [False] * ring
+        floor, in_bytes, found = self.unknown, self.bytes, self.automaton.iter(word)
+        end, match = next(found, (-1, None))
+        for i in range(1, len(word) + 1):
             best, start, single = None, 0, False
-            matches = ends[i - 1]
+            matches = []
+            while end == i - 1:
+                matches.append(match)
+                end, match = next(found, (-1, None))
             if len(matches) > 1:
                 matches.sort(reverse=True)
             for length, s in matches:
-                s += score[i - length]
+                s += score[(i - length) % ring]
                 if best is None or s > best:
                     best, start = s, i - length
                 single = single or length == 1
             is_unknown = False
             if not single:
-                s = floor + score[i - 1]
+                s = floor + score[(i - 1) % ring]
                 if best is None or s > best:
                     best, start, is_unknown = s, i - 1, True
-            score[i], unknown[i] = best, is_unknown
+            at, start = i % ring, start % ring
+            score[at], unknown[at] = best, is_unknown
             if not is_unknown:
-                pieces[i] = pieces[start] + 1
+                pieces[at] = pieces[start] + 1
             elif in_bytes:
-                pieces[i] = pieces[start] + len(word[i - 1].encode("utf-8", "surrogatepass"))
+                pieces[at] = pieces[start] + len(word[i - 1].encode("utf-8", "surrogatepass"))
             else:
-                pieces[i] = pieces[start] + (not unknown[start])
-        return pieces[n]
+                pieces[at] = pieces[start] + (not unknown[start])
+        return pieces[len(word) % ring]
 
     def count(self, text: str) -> int:
         if not text:

@@ -11,7 +11,7 @@ a document's global start is base + offset. A shard's name holds a random part:
 files, and only those of the attempt that succeeded are listed.
 
 Defined cases: a null text counts as empty and has the end id only; repeated document ids are rows of their own, in the
-order of their texts; a null id is stored as the smallest 64-bit integer, sorts first and is read back as null; an empty
+order of their texts' hashes; a null id is stored as the smallest 64-bit integer, sorts first and is read back as null; an empty
 table gives an empty manifest.
 """
 
@@ -33,6 +33,8 @@ from textlake.llm.tokens import LOADED, encoder
 from textlake.session import ship_package
 
 NO_ID = np.iinfo(np.int64).min
+#: Bytes of input for a shard, and ids and documents that are read at once.
+SHARD, MOST_TOKENS, MOST_DOCS = 64 << 20, 1 << 20, 5_000
 
 
 def _fs(folder: str):
@@ -41,6 +43,20 @@ def _fs(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
+def _size(df: DataFrame) -> int:
+    """Bytes of the input as Spark's statistics have them, for files what lies on disk; 0 where they are not known."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
+
+
+def _crc32(ids: np.ndarray) -> int:
+    """Of the ids as unsigned 32-bit integers, little end first."""
+    crc = 0
+    for k in range(0, len(ids), MOST_TOKENS):
+        crc = zlib.crc32(ids[k : k + MOST_TOKENS].astype("<u4").tobytes(), crc)
+    return crc
+
+
 def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, space: str = "attached", n_ids: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
     """Write the documents' ids, each document closed by end_id, in ascending order of the id column; gives the manifest.
 
@@ -76,7 +92,10 @@ def write_token_files(df: DataFrame, folder: str, vocab: str, end_id: int, space
             row = {"shard": [shard], "name": [name], "n_docs": [len(sizes)], "n_tokens": [int(offsets[-1])]}
             yield pa.RecordBatch.from_pydict(row, schema=pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-    ordered = documents(df, id_col, text_col).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # As many shards as the input has SHARD bytes; rows that share an id are told apart by their texts' hashes and can be split.
+    n_shards = max(df.sparkSession.sparkContext.defaultParallelism, -(-_size(df) // SHARD))
+    ordered = documents(df, id_col, text_col).withColumn("row", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange(n_shards, "doc_id", "row").sortWithinPartitions("doc_id", "row", "text").drop("row")
     shards = sorted(ordered.mapInArrow(write, "shard int, name string, n_docs long, n_tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([s.n_tokens for s in shards], dtype="int64")]) if shards else [0]
     manifest = [{"name": s.name, "base": int(b), "n_docs": s.n_docs, "n_tokens": s.n_tokens, "dtype": kind} for s, b in zip(shards, bases)]
@@ -115,22 +134,25 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for m in part.to_pylist():
-                ids, off = _array(folder, f"{m['name']}.ids", m["dtype"]), _array(folder, f"{m['name']}.off", "<u8").astype("i8")
-                docs = np.array(_array(folder, f"{m['name']}.doc", "<i8"))
-                for a in range(0, len(docs), 5_000):
-                    b = min(a + 5_000, len(docs))
-                    wide = ids[off[a] : off[b]].astype("<u4")
-                    cuts = off[a : b + 1] - off[a]
-                    view = memoryview(wide.tobytes())
+                ids, off, docs = (_array(folder, f"{m['name']}.{ext}", kind) for ext, kind in (("ids", m["dtype"]), ("off", "<u8"), ("doc", "<i8")))
+                a = 0
+                while a < len(docs):
+                    # As many documents as have MOST_TOKENS ids, one at least, and MOST_DOCS at most.
+                    cuts = off[a : a + MOST_DOCS + 1].astype("i8")
+                    b = a + max(1, int(np.searchsorted(cuts, cuts[0] + MOST_TOKENS, side="right")) - 1)
+                    cuts = cuts[: b - a + 1] - cuts[0]
+                    wide = ids[off[a] : off[b]]
+                    own = np.array(docs[a:b])
                     out = {
-                        "doc_id": pa.array(docs[a:b], mask=docs[a:b] == NO_ID),
-                        "start": off[a:b] + m["base"],
+                        "doc_id": pa.array(own, mask=own == NO_ID),
+                        "start": off[a:b].astype("i8") + m["base"],
                         "n_tokens": np.diff(cuts),
-                        "ids_crc32": np.array([zlib.crc32(view[4 * x : 4 * y]) for x, y in zip(cuts[:-1], cuts[1:])], dtype="i8"),
+                        "ids_crc32": np.array([_crc32(wide[x:y]) for x, y in zip(cuts[:-1], cuts[1:])], dtype="i8"),
                     }
                     if with_ids:
                         out["ids"] = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(wide.astype("i4")))
                     yield pa.RecordBatch.from_pydict(out)
+                    a = b
 
     rows = [(m["name"], m["base"], m["dtype"]) for m in manifest]
     shards = spark.createDataFrame(rows, "name string, base long, dtype string").coalesce(1).repartition(len(rows))
