@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from textlake.llm import langid, line_dedup, near_copies, packing, secret_scan
 from textlake.llm.queries import vocabulary
-from textlake.session import materialise
+from textlake.session import discard, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Cosines of unrelated vectors have a standard deviation of 1 / sqrt(DIM); a document is rejected below four of them.
@@ -41,7 +41,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more), keep the document with the smallest id. Rows that repeat an id stay or go together."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more), keep the document with the smallest id. Rows that
+    repeat an id stay or go together; rows without an id cannot be named, so they stay, whatever they are copies of."""
     groups = near_copies.near_copies(docs)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id"), "simhash-dropped")
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -72,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        new = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(docs)  # what the stage before has written; the input is none of ours
+        docs = new
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructType
 
+from textlake.functions.charset_guess import LANGUAGES as LANGUAGES
 from textlake.functions.charset_guess import hypotheses
 
 @dataclass(frozen=True)
@@ -182,9 +183,15 @@ def guess(data: bytes) -> tuple[str, int]:
     try:
         data.decode("utf-8")
         return "utf-8", 99
-    except UnicodeDecodeError as e:
-        if e.end >= len(data) and e.start >= len(data) - 3 and e.start > 0 and not data[: e.start].isascii():
-            return "utf-8", 90  # a sample cut within a character
+    except UnicodeDecodeError:
+        # A sample may be cut within a character, at both ends.
+        rest = data.lstrip(bytes(range(0x80, 0xC0))) if data[:4].strip(bytes(range(0x80, 0xC0))) else b""
+        try:
+            rest.decode("utf-8")
+        except UnicodeDecodeError as e:
+            rest = rest[: e.start] if e.start >= len(rest) - 3 and e.reason == "unexpected end of data" else b""
+        if not rest.isascii():
+            return "utf-8", 90
     return hypotheses().guess(data)
 
 
@@ -302,6 +309,7 @@ def with_text(files: DataFrame, policy: str, explicit: str | None = None, defaul
 def vote(chunks: DataFrame) -> DataFrame:
     """From (path, charset, confidence, weight) per chunk to one row per path: the charset with most weight, ties by
     name, and the weighted mean of its confidences, rounded down."""
+    chunks = chunks.withColumn("weight", F.greatest("weight", F.lit(1)))  # of an empty file
     sums = chunks.groupBy("path", "charset").agg(F.sum("weight").alias("weight"), F.sum(F.col("confidence") * F.col("weight")).alias("cw"))
     best = sums.groupBy("path").agg(F.min(F.struct((-F.col("weight")).alias("w"), "charset", "cw")).alias("b"))
     return best.select("path", "b.charset", F.expr("b.cw div -b.w").cast("int").alias("confidence"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.functions import charset
+from textlake.sources import ranges
 
 
 def detect_encoding(files: DataFrame, mode: str = "sample") -> DataFrame:
@@ -24,6 +25,14 @@ def chunk_votes(files: DataFrame) -> DataFrame:
     return found.select("path", "d.charset", "d.confidence", "weight")
 
 
+def range_votes(files: DataFrame, size: int = charset.CHUNK) -> DataFrame:
+    """path, charset, confidence, weight of each range of files (path, size), which are read by ranges, so that no row holds
+    a file, however large; charset.vote() adds them up."""
+    rows = ranges.with_bytes(ranges.ranges(files.select("path", "size"), size)).where("content is not null")
+    found = rows.select("path", F.octet_length("content").cast("long").alias("weight"), charset.detect(F.col("content"), "full").alias("d"))
+    return found.select("path", "d.charset", "d.confidence", "weight")
+
+
 def convert_encoding(files: DataFrame, to: str, source: str | None = None) -> DataFrame:
     """path, source, target, new_content, error, error_code."""
     target = charset.require(to)

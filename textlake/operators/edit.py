@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from textlake.functions import charset, text
 
+#: Unicode white space, as text.trim_space() has it.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 EDITS = "array<struct<old_text:string,new_text:string>>"
 
 
@@ -70,8 +72,8 @@ def apply_edits(source: str, edits: list[tuple[str, str]]) -> str:
         if old in source:
             source = source.replace(old, new, 1)
             continue
-        lines, wanted = source.split("\n"), [x.strip() for x in old.split("\n")]
-        stripped = [x.strip() for x in lines]
+        lines, wanted = source.split("\n"), [x.strip(SPACE) for x in old.split("\n")]
+        stripped = [x.strip(SPACE) for x in lines]
         at = next((i for i in range(len(lines) - len(wanted) + 1) if stripped[i : i + len(wanted)] == wanted), None)
         if at is None:
             raise ValueError(f"no match for edit: {old}")

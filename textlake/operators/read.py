@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import charset, text
@@ -49,13 +49,13 @@ def read_multiple(requests: DataFrame, files: DataFrame, encoding: str | None =
     """
     from textlake.functions.policy import path_allowed
 
-    found = files.join(requests.select("path").distinct(), "path", "left_semi")
-    read = read_text(found, encoding)
-    rows = requests.join(read.select("path", "content", "detected_encoding", "confidence"), "path", "left")
     own = lambda name, kind: F.col(name) if name in files.columns else F.lit(None).cast(kind)
     escaped = ~path_allowed(F.col("real_path"), allowed) if allowed is not None and "real_path" in files.columns else F.lit(False)
-    known = found.select("path", own("error", "string").alias("why"), F.coalesce(own("error_code", "string"), F.when(F.col("content").isNull(), "IO_ERROR")).alias("known_code"), F.coalesce(escaped, F.lit(False)).alias("escaped"))
-    rows = rows.join(known, "path", "left")
+    known_code = F.coalesce(own("error_code", "string"), F.when(F.col("content").isNull(), "IO_ERROR"))
+    known = files.select("path", "content", own("error", "string").alias("why"), known_code.alias("known_code"), F.coalesce(escaped, F.lit(False)).alias("escaped"))
+    # The only join: texts are decoded behind it, so that bytes which nobody asked for are not.
+    rows = charset.with_text(requests.select("idx", "path").join(known, "path", "left"), "read", encoding)
+    rows = rows.select("idx", "path", F.col("text").alias("content"), F.col("e.label").alias("detected_encoding"), F.col("e.confidence").alias("confidence"), "why", "known_code", "escaped")
     denied = ~path_allowed(F.col("path"), allowed) if allowed is not None else F.lit(False)
     code = F.when(F.coalesce(F.col("path"), F.lit("")) == "", "INVALID_PATH").when(denied, "ACCESS_DENIED").when(F.col("escaped"), "SYMLINK_ESCAPE").when(F.col("known_code").isNotNull(), F.col("known_code")).when(F.col("content").isNull(), "NOT_FOUND")
     rows = rows.withColumn("error_code", code)
@@ -65,6 +65,16 @@ def read_multiple(requests: DataFrame, files: DataFrame, encoding: str | None =
     return rows.select("idx", "path", F.when(ok, F.col("content")).alias("content"), message.alias("error"), "error_code", F.when(ok, F.col("detected_encoding")).alias("detected_encoding"), F.when(ok, F.col("confidence")).alias("confidence"))
 
 
+def read_paths(spark: SparkSession, paths: list[str], encoding: str | None = None, allowed: list[str] | None = None) -> DataFrame:
+    """read_multiple() for a list of files, in their order; no path at all is an error of the call."""
+    from textlake.sources.files import with_content
+
+    if not paths:
+        raise ValueError("paths are required")
+    asked = spark.createDataFrame(list(enumerate(paths)), "idx long, path string")
+    return read_multiple(asked, with_content(asked.select("path").distinct()), encoding, allowed)
+
+
 def read_summary(results: DataFrame) -> DataFrame:
     """One row: success_count, error_count, errors (path: message, in order of request)."""
     listed = F.sort_array(F.collect_list(F.when(F.col("error").isNotNull(), F.struct("idx", F.concat(F.coalesce("path", F.lit("")), F.lit(": "), "error").alias("m")))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import glob
@@ -33,6 +33,15 @@ def search_files(entries: DataFrame, pattern: str, exclude: list[str] | None = N
     return found_entries(entries, pattern, exclude).orderBy("path_key").limit(most).select("path", "is_dir")
 
 
+def search_folder(spark: SparkSession, root: str, pattern: str, exclude: list[str] | None = None, max_results: int = DEFAULT_MOST) -> DataFrame:
+    """search_files() below a real folder. A missing pattern is refused first, then a root that is no folder."""
+    from textlake.sources.fs_entries import folder_entries
+
+    if not pattern:
+        raise ValueError("pattern is required")
+    return search_files(folder_entries(spark, root), pattern, exclude, max_results)
+
+
 def search_summary(entries: DataFrame, pattern: str, exclude: list[str] | None = None, max_results: int = DEFAULT_MOST) -> DataFrame:
     """One row: n_files (as returned) and truncated, which is set when the cap is reached, more or not."""
     most = max_results if max_results > 0 else DEFAULT_MOST

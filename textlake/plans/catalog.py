@@ -321,6 +321,51 @@ def detect_chunk_vote(spark, sf_dir):
     return charset.vote(docs.select(F.col("source").alias("path"), F.col("lang").alias("charset"), F.pmod(F.col("doc_id"), F.lit(100)).alias("confidence"), F.col("n_chars").alias("weight")))
 
 
+#: Charsets by doc_id modulo their number, the language whose letters the text is given, and the base letters that get one.
+KNOWN = [
+    ("windows-1251", "ru", virtual.COMMON_LETTERS), ("koi8-r", "ru", virtual.COMMON_LETTERS), ("ibm866", "ru", virtual.COMMON_LETTERS), ("iso-8859-5", "ru", virtual.COMMON_LETTERS),
+    ("windows-1253", "el", virtual.COMMON_LETTERS), ("iso-8859-7", "el", virtual.COMMON_LETTERS), ("windows-1255", "he", virtual.COMMON_LETTERS), ("windows-1256", "ar", virtual.COMMON_LETTERS),
+    ("windows-874", "th", virtual.COMMON_LETTERS), ("koi8-u", "uk", virtual.COMMON_LETTERS), ("windows-1254", "tr", "hnscwp"), ("windows-1257", "lt", "hnscwpdr"),
+    ("windows-1250", "pl", "hnscwpdr"), ("windows-1252", "fr", "hnscwp"),
+]
+#: So many letters beyond ASCII must be read right; fewer may also be reported without high confidence.
+SURE = 100
+
+
+@query("SELECT doc_id, CASE doc_id % 14 " + " ".join(f"WHEN {k} THEN '{n}'" for k, (n, *_) in enumerate(KNOWN)) + " END AS charset, true AS told FROM documents")
+def detect_charsets(spark, sf_dir):
+    """Documents in the letters and charsets of other languages: whether detection reads each as it was written, or (which it may
+    only where there are few letters) does not say that it is sure."""
+    files = virtual.vcharsets(spark, sf_dir, [(n, charset.LANGUAGES[lang], base) for n, lang, base in KNOWN])
+    files = files.withColumn("content", charset.encode_text(F.col("text"), F.col("charset"))["content"]).withColumnRenamed("text", "written")
+    read_as = charset.with_text(files, "grep")
+    high = F.char_length(F.regexp_replace("written", "[\\x00-\\x7F]", ""))
+    told = (F.col("text") == F.col("written")) | ((high < SURE) & (F.col("e.confidence") < charset.HIGH))
+    return read_as.select("doc_id", "charset", told.alias("told"))
+
+
+#: Line numbers run through the documents of a file, in the order of their ids.
+STAGED = """n AS (SELECT coalesce(lang, '') AS lang, doc_id % 16 AS bucket, doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+b AS (SELECT *, coalesce(sum(len(ls)) OVER (PARTITION BY lang, bucket ORDER BY doc_id, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM n),
+r AS (SELECT 'lang=' || lang || '/bucket=' || bucket AS path, (base + i)::BIGINT AS line, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM b))"""
+
+
+@query(f"WITH {STAGED} SELECT path, line, strlen(regexp_extract(text, '^(.*?)queau', 1)) + 1 AS \"column\", text FROM r WHERE contains(text, 'queau')")
+def grep_ranges(spark, sf_dir):
+    """Real files, written from the documents and read by ranges of 64 KB."""
+    files = virtual.staged_files(spark, sf_dir)
+    found = _matches(grep.grep_ranges(files, GrepSpec("queau"), 1 << 16))
+    return found.withColumn("path", F.regexp_extract("path", "(lang=[^/]*/bucket=[0-9]+)", 1))
+
+
+@query("SELECT 'lang=' || lang || '/bucket=' || bucket AS path, CASE WHEN lang = 'en' THEN 'ascii' ELSE 'utf-8' END AS charset FROM (SELECT DISTINCT lang, doc_id % 16 AS bucket FROM documents)")
+def detect_ranges(spark, sf_dir):
+    """Real files, whose ranges of 4 KB, cut within characters or not, vote on the charset: English ones hold little but ASCII, the
+    others accents in nearly every range."""
+    votes = convert.range_votes(virtual.staged_files(spark, sf_dir), 1 << 12)
+    return charset.vote(votes).select(F.regexp_extract("path", "(lang=[^/]*/bucket=[0-9]+)", 1).alias("path"), "charset")
+
+
 # Listing, searching, trees
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -15,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _SHIPPED: set[str] = set()
 _OWN: dict[str, str] = {}
+#: Whether Spark deletes the files of a query's shuffles at its end, instead of when the driver finds them to be garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(app: str = "textlake", cores: str = "*", **conf: str) -> SparkSession:
@@ -81,13 +82,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts lineage and survives the loss of executors.
+    """Write a table to the shared folder and read it back: cuts lineage and survives the loss of executors. The shuffles of the
+    write are deleted when it has ended.
 
     hashes: its values hardly repeat, so that dictionaries are not worth their making.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+    kept = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, kept)
     out = spark.read.schema(df.schema).parquet(path)
     out._textlake_path = path
     return out
@@ -101,13 +108,3 @@ def discard(*tables: DataFrame) -> None:
             spark = df.sparkSession
             target = spark._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the files of shuffles whose results have been written.
-
-    Its cleaner acts on what the driver's collector has found to be garbage; with a large heap that is long after the
-    disks of the executors have filled up.
-    """
-    gc.collect()
-    spark._jvm.java.lang.System.gc()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,21 @@ def error_code(e: Exception) -> str:
     return "IO_ERROR"
 
 
+def open_file(path: str) -> BinaryIO:
+    """A file for reading with seek: a local path, or a URI of any file system that pyarrow knows."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
 def read_part(path: str, how: str, most: int) -> bytes:
     """whole, head (4 bytes, enough for a mark) or sample (first, middle and last CHUNK of large files)."""
-    with open(path, "rb") as f:
+    with open_file(path) as f:
         if how == "head":
             return f.read(4)
         f.seek(0, 2)
@@ -42,7 +55,10 @@ def read_part(path: str, how: str, most: int) -> bytes:
 
 
 def with_content(paths: DataFrame, how: str = "whole", most: int = 1 << 30, batch: int = 64 << 20) -> DataFrame:
-    """paths (with a column path) plus content, error, error_code. Batches are cut at about `batch` bytes."""
+    """paths (with a column path) plus content, error, error_code. Batches are cut at about `batch` bytes.
+
+    Read whole, a file is one row and must fit into it; larger files go by ranges (see sources/ranges.py).
+    """
     ship_package(paths.sparkSession)
     names = paths.columns
     at = names.index("path")

@@ -104,6 +104,15 @@ class FsEntries(DataSource):
         return Reader(dict(self.options))
 
 
+def folder_entries(spark: SparkSession, root: str, max_depth: int = 0, exclude_regex: list[str] | None = None) -> DataFrame:
+    """Entries below a root that must be a folder."""
+    if not os.path.exists(root):
+        raise ValueError(f"no such folder: {root}")
+    if not os.path.isdir(root):
+        raise ValueError(f"not a directory: {root}")
+    return fs_entries(spark, [root], max_depth, exclude_regex)
+
+
 def fs_entries(spark: SparkSession, roots: list[str], max_depth: int = 0, exclude_regex: list[str] | None = None) -> DataFrame:
     """Entries below the roots; a root that is a file is an entry itself. max_depth 1 lists one level."""
     from textlake.session import ship_package

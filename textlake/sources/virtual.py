@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textlake.session import scratch_path
+
+#: Base letters, common ones first.
+COMMON_LETTERS = "etaoinshrdlucmwfygpbvkxjqz"
 EXTENSIONS = (".txt", ".md", ".pas")
 MARKS = {1: b"\xef\xbb\xbf", 2: b"\xff\xfe", 3: b"\xfe\xff", 4: b"\xff\xfe\x00\x00", 5: b"\x00\x00\xfe\xff"}
 
@@ -63,3 +69,30 @@ def vurls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' URLs as files below /web."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages.select("page_id", F.concat(F.lit("/web/"), F.regexp_replace(F.regexp_replace("url", r"^[a-z]+://", ""), r"/+$", "")).alias("path"), F.col("html").cast("binary").alias("content"))
+
+
+def vcharsets(spark: SparkSession, sf_dir: str, kinds: list[tuple[str, str, str]]) -> DataFrame:
+    """doc_id, charset, text: every document in small letters, some of which are replaced by those of another language, by
+    doc_id modulo the number of kinds (charset, letters, the base letters that get one, common ones first)."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plain = F.translate(F.lower(F.coalesce("text", F.lit(""))), "àâäáãçéèêëîïíóôöòúùûüñßœæ", "aaaaaceeeeiiioooouuuunsoa")
+    plain = F.regexp_replace(plain, "[^\\x00-\\x7F]", "")
+    kind, name, text = F.pmod(F.col("doc_id"), F.lit(len(kinds))), F.lit(None).cast("string"), plain
+    for k, (charset, letters, base) in enumerate(kinds):
+        # Letters that stand alone: no marks, no final forms, no accents.
+        alone = "".join(c for c in letters if len(unicodedata.normalize("NFD", c)) == 1 and unicodedata.category(c)[0] == "L" and c not in "ςםןךףץ") if base == COMMON_LETTERS else letters
+        name = F.when(kind == k, F.lit(charset)).otherwise(name)
+        text = F.when(kind == k, F.translate(plain, base[: len(alone)], alone[: len(base)])).otherwise(text)
+    return docs.select("doc_id", name.alias("charset"), text.alias("text"))
+
+
+def staged_files(spark: SparkSession, sf_dir: str, buckets: int = 16) -> DataFrame:
+    """path, size of real files in the shared folder, written from the documents by language and doc_id modulo buckets, one
+    document after another, each with a line feed behind it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.pmod("doc_id", F.lit(buckets)).alias("bucket"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    root = scratch_path(spark, "staged-files")
+    dealt = rows.repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "doc_id", "text")
+    dealt.select("text", "lang", "bucket").write.partitionBy("lang", "bucket").text(root)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(root)
+    return found.select("path", F.col("length").alias("size"))
