@@ -11,7 +11,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textlake.functions import glob
+from textlake.functions import charset, glob
+from textlake.session import materialise
+from textlake.sources.files import with_content
 
 DEFAULT_MOST = 1000
 
@@ -30,23 +32,42 @@ def visited(entries: DataFrame, exclude: list[str], max_depth: int = 0) -> DataF
 
 
 def tree_entries(entries: DataFrame, max_depth: int = 0, max_files: int = DEFAULT_MOST, dirs_only: bool = False, exclude: list[str] | None = None) -> DataFrame:
-    """path_key, depth, name, is_dir, line of the entries shown, in any order; line is the entry's line of text."""
+    """path_key, depth, name, is_dir, line, path (where the entries have one) of the entries shown, in any order; line is the
+    entry's line of text."""
     rows = visited(entries, exclude or [], max_depth)
     shown = rows.where(~F.col("hidden"))
     if dirs_only:
         shown = shown.where("is_dir")
     most = DEFAULT_MOST if max_files == 0 else max(0, max_files)
     line = F.concat(F.repeat(F.lit("  "), F.col("depth")), "name", F.when(F.col("is_dir"), "/").otherwise(""))
-    return shown.orderBy("path_key").limit(most).select("path_key", "depth", "name", "is_dir", line.alias("line"))
+    path = ["path"] if "path" in entries.columns else []
+    return shown.orderBy("path_key").limit(most).select("path_key", "depth", "name", "is_dir", line.alias("line"), *path)
 
 
-def tree(entries: DataFrame, max_depth: int = 0, max_files: int = DEFAULT_MOST, dirs_only: bool = False, exclude: list[str] | None = None, encodings: DataFrame | None = None) -> DataFrame:
+def encodings_of(shown: DataFrame, contents: DataFrame | None = None) -> DataFrame:
+    """path_key, label of the files among the entries shown, from a sample of each; no other file is opened.
+
+    contents (path, content) stands in for real files; what is shown, at most as many rows as the tree's cap, is looked up there.
+    """
+    files = shown.where(~F.col("is_dir")).select("path_key", "path")
+    if contents is None:
+        rows = with_content(files, "sample")
+    else:
+        rows = contents.select("path", "content").join(F.broadcast(files), "path")
+    return rows.where("content is not null").select("path_key", charset.resolve(F.col("content"), "tree")["label"].alias("label"))
+
+
+def tree(entries: DataFrame, max_depth: int = 0, max_files: int = DEFAULT_MOST, dirs_only: bool = False, exclude: list[str] | None = None, encodings: DataFrame | None = None, show_encoding: bool = False, contents: DataFrame | None = None) -> DataFrame:
     """One row: tree, file_count, dir_count, truncated.
 
     truncated is set when the cap is reached and the walk meets another entry, excluded ones and files of a dirs_only
-    tree included. encodings (path_key, label) adds a file's encoding to its line. The text has max_files lines at most.
+    tree included. show_encoding adds a file's encoding to its line, found by encodings_of() for the entries shown only, or
+    taken from encodings (path_key, label). The text has max_files lines at most.
     """
     shown = tree_entries(entries, max_depth, max_files, dirs_only, exclude)
+    if show_encoding and encodings is None:
+        shown = materialise(shown, "tree-shown")  # the cap comes first, and is not worked out again for the files
+        encodings = encodings_of(shown, contents)
     if encodings is not None:
         shown = shown.join(encodings.select("path_key", "label"), "path_key", "left")
         shown = shown.withColumn("line", F.when(~F.col("is_dir") & F.col("label").isNotNull(), F.concat("line", F.lit("  ["), "label", F.lit("]"))).otherwise(F.col("line")))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlake.functions import charset, policy, text
-from textlake.operators import bom, convert, edit, grep, info, lines, read, search, tree
+from textlake.operators import bom, convert, edit, grep, info, lines, links, read, search, tree
 from textlake.operators.grep import GrepSpec
 from textlake.sources import virtual
 
@@ -454,6 +454,23 @@ def tree_capped(spark, sf_dir):
     return tree.tree(_entries(spark, sf_dir), max_files=25)
 
 
+#: The virtual files as entries, folders included.
+E = """k AS (SELECT string_split(path, '/')[3:] AS k, text FROM v),
+x AS (SELECT k[1:i] AS path_key, i < len(k) AS is_dir, CASE WHEN i < len(k) THEN NULL WHEN strlen(text) = length(text) AND text <> '' THEN 'ascii' ELSE 'utf-8' END AS label FROM (SELECT k, text, unnest(range(1, len(k) + 1)) AS i FROM k)),
+n AS (SELECT DISTINCT path_key, is_dir, label FROM x)"""
+
+
+@query(
+    f"""WITH {V}, {E}, f AS (SELECT *, row_number() OVER (ORDER BY path_key) AS r FROM n), t AS (SELECT * FROM f WHERE r <= 200)
+  SELECT string_agg(repeat('  ', len(path_key)::INTEGER - 1) || path_key[-1] || CASE WHEN is_dir THEN '/' ELSE '  [' || label || ']' END || chr(10), '' ORDER BY r) AS tree,
+  count(*) FILTER (NOT is_dir) AS file_count, count(*) FILTER (is_dir) AS dir_count, (SELECT count(*) > 200 FROM n) AS truncated FROM t"""
+)
+def tree_encodings(spark, sf_dir):
+    """Encodings are detected for the files that are shown."""
+    files = virtual.vfiles(spark, sf_dir)
+    return tree.tree(virtual.entries_of_paths(files, "/corpus"), max_files=200, show_encoding=True, contents=files)
+
+
 @query(f"WITH {U} SELECT rel, name, CASE WHEN is_dir THEN 'directory' ELSE 'file' END AS type FROM u WHERE NOT list_bool_or(list_transform(path_key, lambda n: contains(n, '7')))")
 def dir_tree_paths(spark, sf_dir):
     return tree.json_tree_entries(_entries(spark, sf_dir), ["7"]).select(F.array_join("path_key", "/").alias("rel"), "name", "type")
@@ -464,6 +481,31 @@ def path_allowed(spark, sf_dir):
     return virtual.vfiles(spark, sf_dir).select("path", policy.path_allowed(F.col("path"), ["/corpus/fr", "/corpus/de/src1"]).alias("allowed"))
 
 
+# Links
+
+#: Pages as links: two of three lead to the page of half their number; some to themselves or each other, some out of the folder.
+LINKS = """k AS (SELECT DISTINCT page_id AS id FROM pages WHERE page_id % 3 <> 0 OR page_id % 30 = 0),
+x AS (SELECT '/web/p' || id AS path, CASE WHEN id % 50 = 7 THEN '/web/p' || id WHEN id % 50 = 11 THEN '/web/p' || (id + 2) WHEN id % 50 = 13 THEN '/web/p' || (id - 2)
+  WHEN id % 30 = 0 THEN '/elsewhere/' || id ELSE '/web/p' || (id // 2) END AS target FROM k)"""
+
+
+@query(
+    f"""WITH RECURSIVE {LINKS}, w AS (SELECT path, target AS at, 1::BIGINT AS hops FROM x
+  UNION ALL SELECT w.path, x.target, w.hops + 1 FROM w JOIN x ON w.at = x.path WHERE w.hops < 64),
+e AS (SELECT w.path, w.at, w.hops FROM w LEFT JOIN x ON w.at = x.path WHERE x.path IS NULL)
+SELECT x.path, e.at AS real_path, e.hops, CASE WHEN e.at IS NULL THEN 'IO_ERROR' WHEN e.at NOT LIKE '/web/%' THEN 'SYMLINK_ESCAPE' END AS error_code FROM x LEFT JOIN e ON x.path = e.path"""
+)
+def links_resolved(spark, sf_dir):
+    """Chains of links, with circles and escapes."""
+    i = F.col("page_id")
+    is_link = (F.pmod(i, F.lit(3)) != 0) | (F.pmod(i, F.lit(30)) == 0)
+    to = lambda n: F.concat(F.lit("/web/p"), n.cast("string"))
+    target = F.when(F.pmod(i, F.lit(50)) == 7, to(i)).when(F.pmod(i, F.lit(50)) == 11, to(i + 2)).when(F.pmod(i, F.lit(50)) == 13, to(i - 2))
+    target = target.when(F.pmod(i, F.lit(30)) == 0, F.concat(F.lit("/elsewhere/"), i.cast("string"))).otherwise(to(F.expr("page_id div 2")))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(is_link)
+    return links.resolve_links(pages.select(to(i).alias("path"), target.alias("target")), ["/web"])
+
+
 # Edits
 
 

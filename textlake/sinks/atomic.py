@@ -40,7 +40,8 @@ def write_atomic(path: str, data: bytes) -> None:
         raise
 
 
-def _run(rows: DataFrame, act) -> DataFrame:
+def carry_out(rows: DataFrame, act) -> DataFrame:
+    """act(row) for every row, with what came of it; an OSError is the row's, others are the job's."""
     ship_package(rows.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,11 +73,11 @@ def write_files(rows: DataFrame, backup: bool = False) -> DataFrame:
                     write_atomic(row["path"] + ".bak", f.read())
             return True
 
-        kept = materialise(_run(rows.select("path"), keep), "sink-backup")
+        kept = materialise(carry_out(rows.select("path"), keep), "sink-backup")
         rows = rows.join(kept.where("written").select("path"), "path", "left_semi")
 
     def write(row: dict) -> bool:
         write_atomic(row["path"], row["new_content"])
         return True
 
-    return materialise(_run(rows, write), "sink-result")
+    return materialise(carry_out(rows, write), "sink-result")
