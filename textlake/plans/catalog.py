@@ -493,7 +493,7 @@ x AS (SELECT '/web/p' || id AS path, CASE WHEN id % 50 = 7 THEN '/web/p' || id W
     f"""WITH RECURSIVE {LINKS}, w AS (SELECT path, target AS at, 1::BIGINT AS hops FROM x
   UNION ALL SELECT w.path, x.target, w.hops + 1 FROM w JOIN x ON w.at = x.path WHERE w.hops < 64),
 e AS (SELECT w.path, w.at, w.hops FROM w LEFT JOIN x ON w.at = x.path WHERE x.path IS NULL)
-SELECT x.path, e.at AS real_path, e.hops, CASE WHEN e.at IS NULL THEN 'IO_ERROR' WHEN e.at NOT LIKE '/web/%' THEN 'SYMLINK_ESCAPE' END AS error_code FROM x LEFT JOIN e ON x.path = e.path"""
+SELECT x.path, e.at AS real_path, coalesce(e.hops, 0) AS hops, CASE WHEN e.at IS NULL THEN 'IO_ERROR' WHEN e.at NOT LIKE '/web/%' THEN 'SYMLINK_ESCAPE' END AS error_code FROM x LEFT JOIN e ON x.path = e.path"""
 )
 def links_resolved(spark, sf_dir):
     """Chains of links, with circles and escapes."""
@@ -503,7 +503,8 @@ def links_resolved(spark, sf_dir):
     target = F.when(F.pmod(i, F.lit(50)) == 7, to(i)).when(F.pmod(i, F.lit(50)) == 11, to(i + 2)).when(F.pmod(i, F.lit(50)) == 13, to(i - 2))
     target = target.when(F.pmod(i, F.lit(30)) == 0, F.concat(F.lit("/elsewhere/"), i.cast("string"))).otherwise(to(F.expr("page_id div 2")))
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").where(is_link)
-    return links.resolve_links(pages.select(to(i).alias("path"), target.alias("target")), ["/web"])
+    found = links.resolve_links(pages.select(to(i).alias("path"), target.alias("target")), ["/web"])
+    return found.withColumn("hops", F.coalesce("hops", F.lit(0).cast("long")))
 
 
 # Edits
