@@ -1,9 +1,10 @@
 """Near copies by verified Jaccard similarity of word shingles: all pairs of `least` or more, none below.
 
 SimHash proposes first: fingerprints of the same shingles go through the trie join, which finds dense groups cheaply but
-only part of the pairs of 0.8. An exact set-similarity join proposes the rest: shingles are ordered from rare to common (a
-total order: count of their hash bucket, then hash), and two sets that are similar share one of the first
-n - ceil(least * n) + 1. Pairs are filtered by length and position. Every proposed pair is verified by its whole sets.
+only part of the pairs of 0.8. An exact set-similarity join proposes the rest: shingles are ordered from rare to common, and two
+sets that are similar share one of the first n - ceil(least * n) + 1. The order is total: how often a shingle occurs in a
+bounded sample of the sets, if it is frequent there, then its hash; the sample decides how many pairs are proposed, not
+which are found. Pairs are filtered by length and position. Every proposed pair is verified by its whole sets.
 
 Only connectivity is asked for. So a shared shingle first proposes a chain and a star of its sets; after these are
 verified and joined to components, it proposes every other pair that is still in two components. Dense groups of near
@@ -28,7 +29,8 @@ from textlake.llm.components import connected_components
 from textlake.llm.simhash import SEED, near_links
 from textlake.session import discard, materialise, ship_package
 
-BUCKETS = 65_536
+#: The sample of sets in which frequent shingles are looked for, how often they must occur there, and how many there are at most.
+SAMPLE_SETS, FREQUENT, MOST_FREQUENT = 40_000, 3, 200_000
 
 
 def shingle_hashes(text: str, words: int = 5) -> np.ndarray:
@@ -70,22 +72,30 @@ def shingle_sets(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col
     return documents(df, id_col, text_col).mapInArrow(run, "doc_id long, node long, fp long, n int, shingles binary")
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall in each hash bucket, over all rows; BUCKETS numbers."""
+def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of many sets in a sample of about SAMPLE_SETS, ascending, MOST_FREQUENT of them at most, and their counts."""
 
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+    def tokens(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(0, part.num_rows, 500):
-                flat = np.frombuffer(b"".join(part["shingles"].slice(i, 500).to_pylist()), np.uint64)
-                total += np.bincount((flat % BUCKETS).astype(np.int64), minlength=BUCKETS)
-        yield pa.RecordBatch.from_arrays([pa.array([total])], names=["v"])
+                flat = np.frombuffer(b"".join(part["shingles"].slice(i, 500).to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(flat)], names=["token"])
+
+    sampled = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, sets.count() // SAMPLE_SETS))) == 0)
+    counts = sampled.select("shingles").mapInArrow(tokens, "token long").groupBy("token").count().where(F.col("count") >= FREQUENT)
+    rows = counts.orderBy(F.desc("count"), "token").limit(MOST_FREQUENT).collect()
+    found = np.array([r["token"] for r in rows], dtype=np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], np.array([r["count"] for r in rows], dtype=np.int64)[order]
+
 
-    cells = sets.select("shingles").mapInArrow(run, "v array<long>").select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    for row in cells.collect():
-        out[row["i"]] = row["x"]
-    return out
+def rarity(h: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The order of a set's shingles from rare to common: those that are not frequent first, ties by hash."""
+    known, counts = frequent
+    if not len(known):
+        return np.argsort(h)
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    return np.lexsort((h, np.where(known[at] == h, counts[at], 0)))
 
 
 def prefix_length(n: int, least: float) -> int:
@@ -147,7 +157,7 @@ def _groups(parts: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterat
     trim()
 
 
-def shared_prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFrame:
+def shared_prefixes(sets: DataFrame, frequent: tuple[np.ndarray, np.ndarray], least: float) -> DataFrame:
     """token, n, node, at: the places of prefix shingles that more than one set has, once per set."""
 
     def prefixes(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +167,7 @@ def shared_prefixes(sets: DataFrame, counts: np.ndarray, least: float) -> DataFr
                 for s in rows["shingles"]:
                     h = np.frombuffer(s.as_py(), np.uint64)
                     k = prefix_length(len(h), least) if len(h) else 0
-                    tokens.append(h[np.lexsort((h, counts[(h % BUCKETS).astype(np.int64)]))[:k]])
+                    tokens.append(h[rarity(h, frequent)[:k]])
                     lengths.append(k)
                 if sum(lengths):
                     again = lambda name: np.repeat(rows[name].to_numpy(zero_copy_only=False), lengths)
@@ -228,8 +238,7 @@ def near_copies(df: DataFrame, words: int = 5, least: float = 0.8, id_col: str =
     """doc_id and component_id, the smallest doc_id that is reachable over pairs of near copies; a row without an id counts in its
     group, whose component_id it gets, and is the component itself (null) if none of the group has an id."""
     sets = materialise(shingle_sets(df, words, id_col, text_col), "shingle-sets")
-    counts = bucket_counts(sets)
-    shared = materialise(shared_prefixes(sets, counts, least), "shared-shingles")
+    shared = materialise(shared_prefixes(sets, frequent_shingles(sets), least), "shared-shingles")
 
     nodes = sets.where("n > 0").select("fp", "node").distinct()
     reps = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
