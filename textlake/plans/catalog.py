@@ -358,10 +358,9 @@ def grep_ranges(spark, sf_dir):
     return found.withColumn("path", F.regexp_extract("path", "(lang=[^/]*/bucket=[0-9]+)", 1))
 
 
-@query("SELECT 'lang=' || lang || '/bucket=' || bucket AS path, CASE WHEN lang = 'en' THEN 'ascii' ELSE 'utf-8' END AS charset FROM (SELECT DISTINCT lang, doc_id % 16 AS bucket FROM documents)")
+@query()
 def detect_ranges(spark, sf_dir):
-    """Real files, whose ranges of 4 KB, cut within characters or not, vote on the charset: English ones hold little but ASCII, the
-    others accents in nearly every range."""
+    """Real files, whose ranges of 4 KB, cut within characters or not, vote on the charset: ASCII or UTF-8, whichever holds more bytes."""
     votes = convert.range_votes(virtual.staged_files(spark, sf_dir), 1 << 12)
     return charset.vote(votes).select(F.regexp_extract("path", "(lang=[^/]*/bucket=[0-9]+)", 1).alias("path"), "charset")
 
