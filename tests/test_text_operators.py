@@ -190,3 +190,28 @@ def test_sampled_detection_stops_early():
     weak = (b"caf\xe9 " + b"a" * 40) * (n // 46 + 1)
     assert charset.guess(weak[:n])[1] < charset.HIGH
     assert charset.detect_bytes(weak[:n] + russian * (2 * n // len(russian) + 1), "sample")[0] == charset.guess(weak[:n] + (russian * (2 * n // len(russian) + 1))[-n:])[0]
+
+
+@pytest.mark.parametrize(
+    "name, written",
+    [
+        ("iso8859-7", "φα!! σμκλ!! σμκλ!! οτεν!! ι.!! " * 5),
+        ("iso8859-7", "οηιο " * 1000 + "τνοη. "),
+        ("cp1253", "ενση " * 300 + "μτρε αν.\n"),
+        ("koi8-r", "овоомх " * 300 + "вопоте "),
+    ],
+)
+def test_repeated_words_are_evidence_once(name, written):
+    data = written.encode(name)
+    found, _ = charset.guess(data)
+    assert data.decode(charset.lookup(found).codec) == written
+    assert charset.guess(data * 50)[0] == found
+
+
+def test_words_are_remembered_over_pieces_and_only_so_many(monkeypatch):
+    from textlake.functions import charset_guess
+
+    monkeypatch.setattr(charset_guess, "PIECE", 6)
+    assert charset_guess.different_words(b"\xe0\xe1 ab \xe0\xe1 \xe2") == b"\xe0\xe1 \xe2"
+    monkeypatch.setattr(charset_guess, "WORDS", 0)
+    assert charset_guess.different_words(b"\xe0\xe1 ab \xe0\xe1 \xe2").split() == [b"\xe0\xe1", b"\xe0\xe1", b"\xe2"]
