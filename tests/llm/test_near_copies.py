@@ -5,6 +5,7 @@ import corpus_pipeline as cp
 import numpy as np
 
 from cases import EDGES
+from textlake import session
 from textlake.llm import near_copies, simhash
 
 
@@ -84,3 +85,41 @@ def test_proposals_of_one_shingle():
     want = {(i, j) for i, j in itertools.combinations(range(60), 2) if n[i] >= 0.8 * n[j] - 1e-9 and component[i] != component[j]}
     got = [(int(i), int(j)) for a, b in near_copies.propose(n, at, component, 0.8, most=50) for i, j in zip(a, b)]
     assert sorted(got) == sorted(want)
+
+
+def test_parities_rule_out_no_pair_that_is_similar_and_most_others(spark, docs):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    rows = []
+    for i, n in enumerate((1, 2, 9, 40, 400, 900) * 3):
+        other = base[:n].copy()
+        other[: n * (i // 6) // 12] ^= np.uint64(1 << 60)  # none, a twelfth, a sixth of the shingles differ
+        rows.append(np.unique(other))
+    sets = spark.createDataFrame([(i, len(s), near_copies.parity(s)) for i, s in enumerate(rows)], "node long, n int, bits binary")
+    pairs = list(itertools.combinations(range(len(rows)), 2))
+    similar = {(a, b) for a, b in pairs if len(np.intersect1d(rows[a], rows[b])) >= 0.8 * len(np.union1d(rows[a], rows[b])) - 1e-9}
+    left = {tuple(r) for r in near_copies.likely(spark.createDataFrame(pairs, "a long, b long"), sets, 0.8).collect()}
+    assert similar <= left and len(left) < len(similar) + len(pairs) // 10
+
+
+def test_shingles_that_the_sample_does_not_show_are_counted_in_prefixes(docs, monkeypatch):
+    rnd = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows = [(i, " ".join(f"{i}x{rnd.random()}" for _ in range(60)) + " " + passage) for i in range(60)] + [(99, passage + " q"), (98, passage)]
+    want = {i: 98 if i == 99 else i for i, _ in rows}
+    proposed = []
+    likely = near_copies.likely
+    monkeypatch.setattr(near_copies, "likely", lambda pairs, *rest: proposed.append(pairs.count()) or likely(pairs, *rest))
+    monkeypatch.setattr(near_copies, "HOT", 10)
+    monkeypatch.setattr(near_copies, "FREQUENT", 1000)  # the sample shows nothing
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(docs(*rows)).collect()} == want
+    assert sum(proposed) < 60
+
+
+def test_few_sets_are_handed_over_at_once(spark, docs, monkeypatch):
+    seen = []
+    likely = near_copies.likely
+    monkeypatch.setattr(near_copies, "likely", lambda *a: seen.append(spark.conf.get(session.BATCH_ROWS)) or likely(*a))
+    before = spark.conf.get(session.BATCH_ROWS)
+    near_copies.near_copies(docs((1, "a b c d e f"), (2, "a b c d e f")))
+    assert set(seen) == {str(near_copies.SETS_AT_ONCE)} and spark.conf.get(session.BATCH_ROWS) == before

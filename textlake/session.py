@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +19,9 @@ _OWN: dict[str, str] = {}
 #: Whether Spark deletes the files of a query's shuffles at its end, instead of when the driver finds them to be garbage.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: How many rows Spark hands to a Python worker at once.
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def local_session(app: str = "textlake", cores: str = "*", **conf: str) -> SparkSession:
     """A session on this machine with the settings that the engine expects."""
@@ -100,6 +105,17 @@ def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     return out
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While it lasts, what runs hands so many rows to a Python worker at once: for rows that are wide."""
+    kept = spark.conf.get(BATCH_ROWS)
+    spark.conf.set(BATCH_ROWS, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_ROWS, kept)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote."""
     for df in tables:
