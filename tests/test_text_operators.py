@@ -215,3 +215,12 @@ def test_words_are_remembered_over_pieces_and_only_so_many(monkeypatch):
     assert charset_guess.different_words(b"\xe0\xe1 ab \xe0\xe1 \xe2") == b"\xe0\xe1 \xe2"
     monkeypatch.setattr(charset_guess, "WORDS", 0)
     assert charset_guess.different_words(b"\xe0\xe1 ab \xe0\xe1 \xe2").split() == [b"\xe0\xe1", b"\xe0\xe1", b"\xe2"]
+
+
+def test_edits_go_row_by_row_without_pandas(files):
+    data = {"/a": b"one\ntwo\n", "/b": b"  one \n\ttwo\n", "/c": b"three\n"}
+    out = {r.path: r for r in edit.edit_files(files(data), [("one\ntwo", "ONE\n2")], "utf-8").collect()}
+    assert bytes(out["/a"].new_content) == b"ONE\n2\n" and bytes(out["/b"].new_content).split() == [b"ONE", b"2"]
+    assert out["/a"].diff.count("\n+") == 3 and out["/b"].error is None
+    assert out["/c"].error_code == "OPERATION_FAILED" and out["/c"].new_content is None and out["/c"].diff is None
+    assert not hasattr(edit, "pd")

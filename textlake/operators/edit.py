@@ -10,7 +10,7 @@ from __future__ import annotations
 import difflib
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -101,19 +101,24 @@ def edit_files(files: DataFrame, edits: list[tuple[str, str]], encoding: str | N
     rows = charset.with_text(files.select(*kept), "edit", encoding).withColumnRenamed("text", "raw").withColumn("style", text.line_ending_style(F.col("raw")))
     rows = rows.withColumn("old", text.to_lf(F.col("raw"))).withColumn("exact", apply_exact(F.col("old"), edits))
 
-    @F.pandas_udf("struct<new:string,error:string>")
-    def flexible(old: pd.Series) -> pd.DataFrame:
-        out = []
+    # Texts leave the batch one by one, so that a worker holds no second copy of all of them.
+    @F.arrow_udf("struct<new:string,error:string>")
+    def flexible(old: pa.Array) -> pa.Array:
+        new, error = [], []
         for t in old:
-            try:
-                out.append((None, None) if t is None else (apply_edits(t, edits), None))
-            except ValueError as e:
-                out.append((None, str(e)))
-        return pd.DataFrame(out, columns=["new", "error"], dtype="object")
-
-    @F.pandas_udf("string")
-    def diff(path: pd.Series, old: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([None if n is None else unified_diff(p, o, n) for p, o, n in zip(path, old, new)], dtype="object")
+            found = why = None
+            if t.is_valid:
+                try:
+                    found = apply_edits(t.as_py(), edits)
+                except ValueError as e:
+                    why = str(e)
+            new.append(found)
+            error.append(why)
+        return pa.StructArray.from_arrays([pa.array(new, pa.string()), pa.array(error, pa.string())], names=["new", "error"])
+
+    @F.arrow_udf("string")
+    def diff(path: pa.Array, old: pa.Array, new: pa.Array) -> pa.Array:
+        return pa.array((unified_diff(p.as_py(), o.as_py(), n.as_py()) if n.is_valid else None for p, o, n in zip(path, old, new)), pa.string())
 
     rows = rows.withColumn("flexible", flexible(F.when(F.col("exact").isNull(), F.col("old"))))
     read_only = F.lit(False)
