@@ -1,6 +1,7 @@
 import corpus_pipeline as cp
 from pyspark.sql import functions as F
 
+from textlake import session
 from textlake.llm import langid, secret_scan
 from test_dedup import deduped
 from test_near_copies import groups
@@ -77,6 +78,20 @@ def test_workers_hold_one_operators_caches():
     assert not tokens.LOADED
 
 
+def test_workers_get_texts_in_short_batches(spark, sf):
+    """Also by plans that run after the stage has returned; a shorter setting of the user's stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(5)
+    before = spark.conf.get(session.BATCH_ROWS)
+    try:
+        for _, stage in (s for s in cp.STAGES if s[0] in ("language_id", "secret_scan", "packing")):
+            for rows, want in (("10000", str(session.TEXT_ROWS)), ("0", str(session.TEXT_ROWS)), ("7", "7")):
+                spark.conf.set(session.BATCH_ROWS, rows)
+                stage(spark, docs, sf)
+                assert spark.conf.get(session.BATCH_ROWS) == want
+    finally:
+        spark.conf.set(session.BATCH_ROWS, before)
+
+
 def test_memory_of_long_chunks_and_many_trigrams_is_bounded():
     import numpy as np
     from textlake.llm import tokens

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import text_slices
-from textlake.session import ship_package
+from textlake.session import ship_package, short_batches
 
 DIM = 1024
 UNKNOWN = "und"
@@ -114,6 +114,7 @@ def slices(texts: list[str], most: int = 500_000) -> Iterator[tuple[int, int]]:
 def train(df: DataFrame, text: Column, lang: Column, dim: int = DIM) -> dict[str, np.ndarray]:
     """A prototype per language from all rows with a language. The result has languages times dim numbers."""
     ship_package(df.sparkSession)
+    short_batches(df.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(dim), {}
@@ -172,6 +173,7 @@ def predict(df: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "t
     With variety_below also variety, of the texts whose score is below it, else null.
     """
     ship_package(df.sparkSession)
+    short_batches(df.sparkSession)
     df = df.drop("lang_pred", "score", "variety")
     names = list(prototypes)
     matrix = np.stack([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]) if names else np.empty((0, dim))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from textlake.llm.common import documents, text_slices
 from textlake.llm.tokens import LOADED, encoder
-from textlake.session import ship_package
+from textlake.session import ship_package, short_batches
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -81,6 +81,7 @@ def pack(counts: dict[int, int], capacity: int) -> Iterator[list[int]]:
 def pack_documents(df: DataFrame, vocab: str, end_id: int = 1, space: str = "dropped", capacity: int = 2048, flush: int = 100_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     ship_package(df.sparkSession)
+    short_batches(df.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

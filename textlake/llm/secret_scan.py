@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlake.llm.common import documents, text_or_empty, text_slices
-from textlake.session import ship_package
+from textlake.session import ship_package, short_batches
 
 # The base kinds, in the order in which spans with equal starts are listed.
 KINDS = ("assign", "access", "hex", "weak", "identifier", "endpoint")
@@ -143,6 +143,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def scan_secrets(df: DataFrame, reach: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans, for every row."""
     ship_package(df.sparkSession)
+    short_batches(df.sparkSession)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_slices(parts):
@@ -175,6 +176,7 @@ def redact(text: str, reach: int = 200, mark: str = "[REDACTED]") -> str:
 def redact_secrets(df: DataFrame, reach: int = 200, text_col: str = "text") -> DataFrame:
     """The same rows and columns with secrets taken out of the text; null texts stay null."""
     ship_package(df.sparkSession)
+    short_batches(df.sparkSession)
     names, at = df.columns, df.columns.index(text_col)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

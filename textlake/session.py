@@ -21,6 +21,8 @@ DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: How many rows Spark hands to a Python worker at once.
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: The most of them for whole texts: with more, JVM and worker hold several copies of what may be a task's whole input.
+TEXT_ROWS = 1_000
 
 
 def local_session(app: str = "textlake", cores: str = "*", **conf: str) -> SparkSession:
@@ -116,6 +118,13 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(BATCH_ROWS, kept)
 
 
+def short_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """From now on, what runs hands so many rows to a Python worker at once, at most. Spark reads the setting when a query runs,
+    which is after an operator has returned its plan; so it stays for the session."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= rows:
+        spark.conf.set(BATCH_ROWS, str(rows))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete what materialise() wrote."""
     for df in tables:
