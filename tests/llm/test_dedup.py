@@ -162,3 +162,34 @@ def test_clashing_columns_and_a_document_of_many_lines(spark):
 def test_frequent_tokens_go_another_way_with_the_same_result(docs, monkeypatch):
     monkeypatch.setattr(line_dedup, "FREQUENT", 2)
     test_lines_by_brute_force(docs, 1)
+
+
+def test_cost_of_cleaning_and_of_the_order_of_tokens(docs, monkeypatch):
+    """A text is searched for odd space five times at most; tokens go to their counts once, and are ranked without lists."""
+    plans, write = {}, line_dedup.materialise
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+
+    def kept(df, label, **kw):
+        plans[label] = text(df)
+        return write(df, label, **kw)
+
+    monkeypatch.setattr(line_dedup, "materialise", kept)
+    monkeypatch.setattr(line_dedup, "FREQUENT", 2)
+    rows = docs(*[(i, "\n".join(f"{w} two three four five six seven" for w in "abcd"[: 1 + i % 4])) for i in range(9)])
+    rows.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")  # the plan shows reuse
+    try:
+        line_dedup.removed_lines(rows)
+    finally:
+        rows.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plans["line-keys"].count("Contains(") <= 5
+    assert "collect_list" not in plans["line-postings"] and "ObjectHashAggregate" not in plans["line-postings"]
+    assert plans["line-postings"].count("REPARTITION_BY_COL") <= 1 + plans["line-postings"].count("ReusedExchange")
+
+
+def test_space_around_lines(docs):
+    line = "one two three four five six"
+    odd = [f" {line}", f"{line} ", f"\t{line}", f"{line}\r", f"\x0b {line}\x0c", line.replace(" ", "\t"), line.replace(" ", " \r"), f"  {line.upper()}  "]
+    rows = [(0, f" x\n{line}\n "), *((i + 1, f"a\n{o}\nb") for i, o in enumerate(odd)), (20, f"{line} \n y"), (21, f" \n{line}"), (22, "one two three four \n\t five six seven")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs(*rows)).collect()}
+    assert got == {i: t for (i, _), t in zip(rows, deduped(rows))}
+    assert got[3] == "a\nb" and got[20] == " y" and got[22] == rows[-1][1]

@@ -30,7 +30,7 @@ columns pass through, whatever their names; a column that is named lines_removed
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlake.llm.common import text_or_empty
@@ -39,24 +39,24 @@ from textlake.session import discard, materialise
 WORDS = 5
 SIMILARITY = 0.8
 #: Share of a line's tokens by which the screen looks beyond the shortest prefix.
-SCREEN = 0.03
+SCREEN = 0.06
 #: Line numbers by document are sent to all tasks up to so many lines; beyond, they are joined by exchange.
 BROADCAST_ROWS = 1_000_000
 #: The sample of lines in which frequent tokens are looked for, how often they must occur there, and how many there are at most.
-SAMPLE_LINES, FREQUENT, MOST_FREQUENT = 100_000, 50, 4_000
+SAMPLE_LINES, FREQUENT, MOST_FREQUENT = 20_000, 10, 4_000
 SPACE = "[\\x09\\x0B\\x0C\\x0D\\x20]+"
 
 
 def clean_lines(text: Column) -> Column:
-    """The text in lower case, with one space between the words of a line and none around them.
+    """The text in lower case, with one space between the words of a line and one at most around them.
 
-    Most texts are so already; that is found by plain searches, so that patterns run only over the others.
+    Most texts are so already; that is found by plain searches, each a pass over the text, so that the pattern runs only over
+    the others. The space around a line is left to hashed(), as it takes no search there.
     """
-    odd = F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" "))
-    for part in ("\t", "\x0b", "\x0c", "\r", "  ", "\n ", " \n"):
+    odd = F.contains(text, F.lit("  "))
+    for part in ("\t", "\x0b", "\x0c", "\r"):
         odd = odd | F.contains(text, F.lit(part))
-    spaced = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), SPACE, " "), " ?\n ?", "\n"))
-    return F.when(odd, spaced).otherwise(F.lower(text))
+    return F.when(odd, F.regexp_replace(F.lower(text), SPACE, " ")).otherwise(F.lower(text))
 
 
 def row_hash(text_col: str) -> Column:
@@ -69,8 +69,8 @@ def bound(col: Column, f) -> Column:
     return F.element_at(F.transform(F.array(col), f), 1)
 
 
-def hashed(norm: Column, words: int) -> Column:
-    """struct<k1, k2, h> of a clean line: two hashes of all of it, and the 64-bit hashes of its shingles in their order.
+def hashed(line: Column, words: int) -> Column:
+    """struct<k1, k2, h> of a line as clean_lines() leaves it: two hashes of all of it, and the 64-bit hashes of its shingles in their order.
 
     Used within the loop over a text's lines, so that rows carry hashes and no words.
     """
@@ -78,11 +78,11 @@ def hashed(norm: Column, words: int) -> Column:
     def shingles(h: Column) -> Column:
         return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, words)]))
 
-    def of(w: Column) -> Column:
+    def of(norm: Column, w: Column) -> Column:
         h = F.slice(bound(F.transform(w, lambda x: F.xxhash64(x)), shingles), F.lit(1), F.size(w) - (words - 1))
         return F.when(F.size(w) >= words, F.struct(F.xxhash64(norm).alias("k1"), F.xxhash64(F.lit(1), norm).alias("k2"), h.alias("h")))
 
-    return bound(F.split(norm, " "), of)
+    return bound(F.trim(line), lambda norm: bound(F.split(norm, " "), lambda w: of(norm, w)))
 
 
 def lines_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -122,7 +122,8 @@ def shared(rows: DataFrame, frequent: list[int], owner: str) -> DataFrame:
     token once; both the count and the join read that one exchange.
     """
     total = lambda df: df.groupBy("token").agg(F.min(owner).alias("lo"), F.max(owner).alias("hi"), F.count("*").alias("lines")).where("lo <> hi").select("token", "lines")
-    few = rows.where(~among(frequent)).repartition("token")
+    # Without the test for nulls, which a later join adds to one of the two, they would not be one exchange.
+    few = rows.where(~among(frequent) & F.col(owner).isNotNull()).repartition("token")
     out = few.join(total(few).hint("shuffle_hash"), "token")
     powers: dict[int, list[int]] = {}
     for r in total(rows.where(among(frequent))).collect() if frequent else ():
@@ -167,12 +168,14 @@ def postings(sets: DataFrame, t: float) -> DataFrame:
     n_lines = sets.count()
     frequent = frequent_tokens(sets, n_lines, "tokens")
     rows = sets.select("id", F.explode("tokens").alias("token"))
-    listed = shared(rows, frequent, "id").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("lines", "token"))).alias("common"))
-    both = listed.join(sets.select("id", "at", "n"), "id")
-    need, single = least_common(F.col("n"), t), F.col("n") - F.size("common")
-    both = both.where(F.size("common") >= need).select("id", "at", "n", single.alias("single"), F.slice("common", F.lit(1), F.greatest(F.col("n") - need + 1 - single, F.lit(0))).alias("prefix"))
-    posted = both.select("id", "at", "n", "single", F.posexplode("prefix").alias("i", "x"))
-    return materialise(posted.select(F.col("x.token").alias("token"), "id", "at", "n", (F.col("single") + F.col("i")).alias("place")), "line-postings", hashes=True)
+    common = shared(rows, frequent, "id").join(sets.select("id", "n").hint("shuffle_hash"), "id")
+    order = Window.partitionBy("id").orderBy("lines", "token")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = common.select("id", "n", "token", F.row_number().over(order).alias("i"), F.count("*").over(whole).cast("int").alias("common"))
+    need, single = least_common(F.col("n"), t), F.col("n") - F.col("common")
+    place = single + F.col("i") - 1
+    posted = ranked.where((F.col("common") >= need) & (place <= F.col("n") - need)).select("token", "id", "n", place.alias("place"))
+    return materialise(posted.join(sets.select("id", "at"), "id").select("token", "id", "at", "n", "place"), "line-postings", hashes=True)
 
 
 def later_matches(sets: DataFrame, posted: DataFrame, t: float) -> DataFrame:
